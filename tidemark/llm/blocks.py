@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TARGET = 16 << 20
+TARGET = 8 << 20
 
 
 def chunked(df: DataFrame, by: str, text: str, target: int = TARGET, name: str = "chunk") -> tuple[DataFrame, int]:
