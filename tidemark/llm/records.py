@@ -163,7 +163,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str
         return pa.table({"shard": pa.array([chunk], pa.int32()), "path": [uri], "docs": pa.array([len(offsets)], pa.int64()), "ids": pa.array([sum(counts)], pa.int64())})
 
     done = rows.groupBy("chunk").applyInArrow(write, "shard int, path string, docs long, ids long")
-    return sorted((r.asDict() for r in done.toLocalIterator()), key=lambda r: r["shard"])
+    return sorted((r.asDict() for r in done.collect()), key=lambda r: r["shard"])
 
 
 def read_tokens(spark, shards: list[dict], keep: bool = False) -> DataFrame:
