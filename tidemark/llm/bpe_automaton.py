@@ -23,7 +23,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +129,7 @@ class Codec:
         self.automaton = Automaton(labels, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs])
         for s, i in self.specials.items():
             labels[i] = s.encode("utf-8")
-        self.split, self.words = presplit.splitter(self.specials), regex.compile(presplit.BYTE_PATTERN).findall
+        self.split, self.words = presplit.splitter(self.specials), presplit.finder(presplit.ASCII_BYTE_PATTERN, presplit.BYTE_PATTERN)
 
     def encode(self, text: str) -> np.ndarray:
         parts, out, paths = self.split(text), [], self.automaton.cache

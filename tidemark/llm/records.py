@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +113,8 @@ class Encoder:
         self.model, self.alphabet = self.tokenizer.model, presplit.byte_alphabet()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.specials = presplit.special_tokens(path)
-        self.split, self.words = presplit.splitter(self.specials), regex.compile(presplit.BYTE_PATTERN).findall
-        self.cache = presplit.Cache(self.encode_word)
+        self.split, self.words = presplit.splitter(self.specials), presplit.finder(presplit.ASCII_BYTE_PATTERN, presplit.BYTE_PATTERN)
+        self.cache = presplit.Cache(self.encode_word, 800_000)
 
     def encode_word(self, word: str) -> bytes:
         pieces = self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))

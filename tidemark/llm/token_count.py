@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ class Lengths:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalize = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
         self.split = presplit.splitter(presplit.special_tokens(path))
-        self.words = regex.compile(presplit.WORD_PATTERN).findall
+        self.words = presplit.finder(presplit.ASCII_WORD_PATTERN, presplit.WORD_PATTERN)
         self.alphabet = presplit.byte_alphabet()
         self.cache = presplit.Cache(self.length, most)
 
