@@ -25,6 +25,8 @@ from tidemark.llm import blocks
 
 UNDETERMINED = "und"
 SIZE = 1 << 16
+#: Characters handled at once.
+_SLICE = 1 << 18
 #: First and last code point, and script.
 SCRIPT_RANGES = [
     (0x0041, 0x024F, "Latin"), (0x0250, 0x02AF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x0400, 0x052F, "Cyrillic"),
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         total = np.zeros((len(langs), width), np.int64)
         for b in batches:
             texts, labels = b["t"].to_pylist(), b["l"].to_pylist()
-            for s, e in blocks.slices([len(t) for t in texts], 1 << 20):
+            for s, e in blocks.slices([len(t) for t in texts], _SLICE):
                 w = words_of(texts[s:e])
                 of_word = np.repeat([langs.index(x) for x in labels[s:e]], w.count)
                 of_letter = np.repeat(of_word, w.length)
@@ -189,7 +191,7 @@ def label_texts(model: Model, texts: list[str | None], penalty: float) -> tuple[
     texts = [t or "" for t in texts]
     langs, shares, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    for s, e in blocks.slices([len(texts[i]) for i in order], 1 << 21):
+    for s, e in blocks.slices([len(texts[i]) for i in order], _SLICE):
         w = words_of([texts[i] for i in order[s:e]])
         if not len(w.start) or not model.langs:
             continue
