@@ -100,18 +100,19 @@ def pieces(lengths: DataFrame, doc_id: str, n_tokens: str, longest: int) -> Data
 
 
 def numbered(rows: DataFrame, per_salt: int = 200_000) -> tuple[DataFrame, dict[int, int]]:
-    """rows with ``number``, 0 and up within each n by (salt, doc_id, piece, copy); and the histogram of n.
+    """rows with ``number``, 0 and up within each n by (salt, doc_id, piece); and the histogram of n.
 
-    A length that a third of all pieces share is spread over salts by a hash of the document, so no task orders all of it.
+    A length that very many pieces share is spread over salts by a hash of the document, about per_salt to each, so no
+    task orders all of it. Others have one salt, so the offsets are at most one for each n and each per_salt rows.
     """
-    salts = max(1, -(-rows.count() // per_salt)) * 8
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    counts = salted.groupBy("n", "salt").agg(F.count("*").alias("c"))
+    histogram = {r["n"]: r["c"] for r in rows.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    spread = rows.sparkSession.createDataFrame([(n, -(-c // per_salt)) for n, c in sorted(histogram.items())], "n int, salts long")
+    salted = rows.join(F.broadcast(spread), "n").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets, _ = workspace.cut(counts.withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))), "offsets")
-    histogram = {r["n"]: r["c"] for r in offsets.groupBy("n").agg(F.sum("c").alias("c")).collect()}
+    counts = salted.groupBy("n", "salt").agg(F.count("*").alias("c"))
+    offsets, _ = workspace.cut(counts.select("n", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset")), "offsets")
     within = F.row_number().over(Window.partitionBy("n", "salt").orderBy("doc_id", "piece"))
-    out = salted.withColumn("within", within).join(offsets.select("n", "salt", "offset"), ["n", "salt"])
+    out = salted.withColumn("within", within).join(offsets, ["n", "salt"])
     return out.withColumn("number", F.col("offset") + F.col("within") - 1).drop("salt", "within", "offset"), histogram
 
 
