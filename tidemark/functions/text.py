@@ -69,7 +69,8 @@ def dollar_amounts(x: Column) -> Column:
 def clean_mail_body(x: Column) -> Column:
     """Up to the first quote, without format characters and with blank lines collapsed."""
     cut = F.get(F.split(x, QUOTES, 2), F.lit(0))
-    return F.trim(F.regexp_replace(F.regexp_replace(cut, r"[\p{Cf}\p{Zl}\p{Zp}]", ""), r"\n{3,}", "\n\n"))
+    plain = F.regexp_replace(F.regexp_replace(cut, r"[\p{Cf}\p{Zl}\p{Zp}]", ""), r"\n{3,}", "\n\n")
+    return F.regexp_replace(plain, r"^\s+|\s+$", "")
 
 
 def mask_secrets(x: Column) -> Column:

@@ -1,0 +1,79 @@
+"""Identity, merges and propagation (survey 2.7, 2.8, 2.13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions import confidence as conf
+from tidemark.functions import text as tx
+from tidemark.operators import graph, identity
+from tidemark.operators.propagate import propagate
+from tidemark.plans.bridge import Tables
+from tidemark.plans.registry import query
+
+def _names(t: Tables) -> DataFrame:
+    """The distinct names, each with the smallest key that bears it."""
+    return t.read("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+
+
+_NAMES = ", nm AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name), tok AS (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name), '[\\s,.\\-_/]+'), lambda x: length(x) > 1))) AS w FROM nm)"
+
+
+@query(_NAMES + "SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS jaccard FROM tok a JOIN tok b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 1 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.3")
+def similar_names(t: Tables) -> DataFrame:
+    return identity.same_name(_names(t), 0.3, 1)
+
+
+@query(_NAMES + "SELECT a.id AS a, b.id AS b FROM tok a JOIN tok b ON a.id <> b.id AND len(a.w) BETWEEN 2 AND 4 AND len(b.w) >= 2 AND len(list_intersect(a.w, b.w)) = len(a.w) AND (len(a.w) < len(b.w) OR a.id < b.id)")
+def subset_names(t: Tables) -> DataFrame:
+    return identity.subset_names(_names(t))
+
+
+@query("""SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 50) AS component FROM customer""")
+def merged_persons(t: Tables) -> DataFrame:
+    """Customers chained by neighbouring links within a nation and residue; a chain is one person."""
+    c = t.read("customer").select(F.col("c_custkey").alias("node"), F.lag("c_custkey").over(Window.partitionBy("c_nationkey", F.col("c_custkey") % 50).orderBy("c_custkey")).alias("before"))
+    return graph.components(c.select("node"), c.filter("before is not null").select(F.col("node").alias("a"), F.col("before").alias("b")))
+
+
+@query("""SELECT 'person:' || substr(sha256(e || '|' || p), 1, 16) AS person_id, name, e AS email, p AS phone FROM (
+    SELECT 'user' || c_custkey || '@gmail.com' AS e, '+1' || (2000000000 + c_custkey)::VARCHAR AS p, c_name AS name FROM customer)""")
+def resolved_persons(t: Tables) -> DataFrame:
+    """Customers seen twice, once by a dotted e-mail and once by phone, come out as one person each."""
+    c = t.read("customer")
+    key = F.col("c_custkey").cast("string")
+    phone = (F.lit(2000000000) + F.col("c_custkey")).cast("string")
+    mail = c.select(F.concat(F.lit("U.ser"), key, F.lit("@GMail.com ")).alias("email"), F.concat(F.lit("("), F.substring(phone, 1, 3), F.lit(") "), F.substring(phone, 4, 7)).alias("phone"), F.col("c_name").alias("name"), F.lit(0).alias("rank"))
+    call = c.select(F.lit(None).cast("string").alias("email"), F.concat(F.lit("1"), phone).alias("phone"), F.lit("x").alias("name"), F.lit(1).alias("rank"))
+    p = identity.resolve(mail.unionByName(call))
+    return p.select("person_id", "name", F.get("emails", F.lit(0)).alias("email"), F.get("phones", F.lit(0)).alias("phone"))
+
+
+@query("SELECT c_custkey, c_mktsegment || ' ' || c_name AS name FROM customer")
+def cleaned_names(t: Tables) -> DataFrame:
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(", "), "c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("list >> "), "c_mktsegment", F.lit(" "), "c_name")).otherwise(F.concat("c_mktsegment", F.lit("  "), "c_name", F.lit(" (via Groups)")))
+    return t.read("customer").select("c_custkey", tx.clean_name(raw).alias("name"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'group' WHEN 3 THEN 'name' ELSE 'noise' END AS kind FROM customer")
+def parsed_participants(t: Tables) -> DataFrame:
+    k, key = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    raw = F.when(k == 0, F.concat("c_name", F.lit(" <a"), key, F.lit("@x.org>; CC: b@y.org"))).when(k == 1, F.concat(F.lit("+49 30 100"), F.lpad(key, 6, "0"))).when(k == 2, F.concat(F.lit("#team"), key)).when(k == 3, F.lit("Ann Lee")).otherwise("  ")
+    return t.read("customer").select("c_custkey", tx.participant(raw)["kind"].alias("kind"))
+
+
+def items(t: Tables) -> DataFrame:
+    """Messages with a score, for propagation."""
+    n = t.events.groupBy(F.col("person_id").alias("sender")).agg(F.count("*").alias("n")).select("sender", conf.tier_two(F.col("n") - 40).alias("tier"))
+    kind = F.expr("case source when 'mail' then 'email' when 'calendar' then 'meeting' else 'message' end")
+    e = t.events.select("event_id", (F.col("event_id") * 37 % 101 / 101.0).alias("score"), kind.alias("event_type"), "thread_id", F.col("person_id").alias("sender"), F.col("is_from_me").alias("sender_is_user"), (F.col("event_id") % 4).alias("n_cc"), (F.col("event_id") % 9).alias("recipients"), "ts")
+    return e.join(n, "sender")
+
+
+@query()
+def propagated_scores(t: Tables) -> DataFrame:
+    """Three rounds of five rules: no one SQL statement; tests hold it against a plain loop."""
+    found, _ = propagate(items(t), t.now.first()["now"])
+    return found.select("event_id", F.round("before", 6).alias("before"), F.round("score", 6).alias("score"))
