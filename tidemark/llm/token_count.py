@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,19 +55,19 @@ def lengths(path: str) -> Lengths:
 def frequent(docs: DataFrame, tokenizer_path: str, text: str = "text", sample_docs: int = 4000, table_size: int = 1 << 16, seed: int = 7) -> dict[str, int]:
     """The first tier: lengths of the most frequent short pre-tokens of about sample_docs rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = lengths(tokenizer_path), Counter()
         for b in batches:
-            for t in b["t"]:
+            for t in b["t"].to_pylist():
                 if t:
                     counts.update(w for w in own.pre_tokens(t)[0] if len(w) <= presplit.LONGEST_CACHED)
         top = counts.most_common(table_size)
-        yield pd.DataFrame({"w": [w for w, _ in top], "c": [c for _, c in top], "n": [own.cache[w] for w, _ in top]})
+        yield pa.RecordBatch.from_pydict({"w": [w for w, _ in top], "c": [c for _, c in top], "n": [own.cache[w] for w, _ in top]}, pa.schema([("w", pa.string()), ("c", pa.int64()), ("n", pa.int32())]))
 
     rows = docs.count()
     if not rows:
         return {}
-    part = docs.select(F.col(text).alias("t")).sample(min(1.0, sample_docs / rows), seed).mapInPandas(run, "w string, c long, n int")
+    part = docs.select(F.col(text).alias("t")).sample(min(1.0, sample_docs / rows), seed).mapInArrow(run, "w string, c long, n int")
     top = part.groupBy("w").agg(F.sum("c").alias("c"), F.first("n").alias("n")).orderBy(F.desc("c"), "w").limit(table_size)
     return {r["w"]: r["n"] for r in top.select("w", "n").toLocalIterator()}
 
