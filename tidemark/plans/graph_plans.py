@@ -26,9 +26,13 @@ def similar_names(t: Tables) -> DataFrame:
     return identity.same_name(_names(t), 0.3, 1)
 
 
-@query(_NAMES + "SELECT a.id AS a, b.id AS b FROM tok a JOIN tok b ON a.id <> b.id AND len(a.w) BETWEEN 2 AND 4 AND len(b.w) >= 2 AND len(list_intersect(a.w, b.w)) = len(a.w) AND (len(a.w) < len(b.w) OR a.id < b.id)")
+_LONGER = _NAMES.replace("nm AS (", "nm AS (SELECT p_name || ' ' || p_brand AS name, min(p_partkey) + 1000000000 AS id FROM part WHERE p_size = 1 GROUP BY 1 UNION ALL ")
+
+
+@query(_LONGER + "SELECT a.id AS a, b.id AS b FROM tok a JOIN tok b ON a.id <> b.id AND len(a.w) BETWEEN 2 AND 4 AND len(b.w) >= 2 AND len(list_intersect(a.w, b.w)) = len(a.w) AND (len(a.w) < len(b.w) OR a.id < b.id)")
 def subset_names(t: Tables) -> DataFrame:
-    return identity.subset_names(_names(t))
+    longer = t.read("part").filter("p_size = 1").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg((F.min("p_partkey") + 1000000000).alias("id"))
+    return identity.subset_names(_names(t).unionByName(longer))
 
 
 @query("""SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 50) AS component FROM customer""")
