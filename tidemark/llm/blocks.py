@@ -1,7 +1,8 @@
 """Chunks of whole documents, and an exchange of compact sorted keys between them.
 
-A chunk is a range of document ids with about ``target`` bytes of text, so it fits a task whatever
-the input. Operators that must know which of their many hashes occur elsewhere don't shuffle a row
+A chunk is a range of document ids with about ``target`` bytes of text, so it fits a task. Chunks and buckets
+are equally many, so the number of blobs is the square of that; to keep a blob at a kilobyte or more, chunks grow
+as the square root of the input (8 MiB up to 64 GB of text, 316 MB at 100 TB). Operators that must know which of their many hashes occur elsewhere don't shuffle a row
 for each: a chunk sorts its distinct keys and sends one delta-coded blob to each bucket of the key
 space; a bucket compares the blobs and answers with one small flag per key, in the order it came. A key
 that a third of all documents hold is sent once by each chunk.
@@ -27,10 +28,10 @@ def chunked(df: DataFrame, by: str, text: str, target: int = TARGET, name: str =
     Rows with equal ``by`` share a chunk; null comes first.
     """
     rank = F.coalesce(F.col(by).cast("long"), F.lit(-(1 << 63)))
-    total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    parts, bounds = max(1, math.ceil(total / target)), np.array([], np.int64)
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts, bounds = max(1, math.ceil(total / max(target, math.isqrt(total << 10)))), np.array([], np.int64)
     if parts > 1:
-        found = df.agg(F.percentile_approx(rank, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
+        found = df.agg(F.percentile_approx(rank, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0]
         bounds = np.unique(np.array(found or [], np.int64))
 
     @F.pandas_udf("int")

@@ -5,7 +5,7 @@ sequence has tokens, so the plan is made on the driver from that histogram, of b
 Lengths are taken in descending order. A piece goes into the open bin that it fills best; if it fits
 none, a bin opens of the size that costs least for each token the remaining pieces of this length can put
 into it. At the end each bin shrinks to the smallest permitted size that holds its contents. The plan is made
-once for each largest size allowed, and the one that costs least is taken. Equal bins are kept as ranges, never one by one.
+for each largest size allowed, with the smaller ones and alone, and the one that costs least is taken. Equal bins are kept as ranges, never one by one.
 
 Pieces of a length are numbered in parallel (per salt, then offset), and number and length give
 the bin.
@@ -83,11 +83,12 @@ def _plan(histogram: dict[int, int], sizes: list[int], permitted: list[int], bin
 
 
 def best_plan(histogram: dict[int, int], permitted: list[int], bin_cost: float = 16.0) -> Plan:
-    """The cheapest of the plans that open bins up to each permitted size that holds the longest piece."""
+    """The cheapest of the plans that open bins up to each permitted size that holds the longest piece, or of that size alone."""
     permitted, longest = sorted(set(permitted)), max((x for x, n in histogram.items() if n), default=0)
     if not permitted or permitted[0] < 1 or longest > permitted[-1]:
         raise ValueError("the permitted sizes must be positive and hold the longest piece")
-    return min((_plan(histogram, [c for c in permitted if c <= top], permitted, bin_cost) for top in permitted if top >= longest), key=lambda p: p.cost)
+    choices = [sizes for top in permitted if top >= longest for sizes in ([c for c in permitted if c <= top], [top])]
+    return min((_plan(histogram, sizes, permitted, bin_cost) for sizes in choices), key=lambda p: p.cost)
 
 
 def pieces(lengths: DataFrame, doc_id: str, n_tokens: str, longest: int) -> DataFrame:

@@ -137,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str
 
     Rows go in ascending doc_id (null first, equal ids by text). Null counts as empty, so it has
     the end id alone. Repeated rows are written each. An empty table gives no shards. The list has one entry for
-    each ``target`` bytes of text.
+    each chunk (see blocks), a few hundred thousand at 100 TB.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, _ = blocks.chunked(rows, "doc_id", "text", target)
