@@ -97,12 +97,12 @@ def mail_files(spark: SparkSession, path: str) -> DataFrame:
                 m = message_from_bytes(raw[head.end() :] if head else raw, policy=policy.default)
                 part = m.get_body(("plain", "html"))
                 date = m["date"].datetime if m["date"] is not None else None
-                rows.append((str(m["from"] or ""), str(m["to"] or ""), str(m["cc"] or ""), str(m["subject"] or ""), int(date.timestamp()) if date else None, part.get_content() if part else ""))
+                rows.append((str(m["from"] or ""), str(m["to"] or ""), str(m["cc"] or ""), str(m["subject"] or "").strip(), int(date.timestamp()) if date else None, part.get_content() if part else ""))
             yield pd.DataFrame(rows, columns=["sender", "to", "cc", "subject", "ts", "body"]).astype({"ts": "Int64"})
 
     mails = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "sender string, to string, cc string, subject string, ts long, body string")
     keyed = mails.withColumn("source_id", source_id(F.coalesce(F.col("ts").cast("string"), F.lit("")), F.lower("sender"), F.lower(F.trim("subject"))))
-    newest = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("ts"), "body")
+    newest = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("ts"), "subject", "body")
     return keyed.withColumn("r", F.row_number().over(newest)).filter("r = 1").drop("r").withColumn("body", tx.clean_mail_body(F.col("body")))
 
 
