@@ -2,7 +2,7 @@
 
 A chunk is a range of document ids with about ``target`` bytes of text, so it fits a task. Chunks and buckets
 are equally many, so the number of blobs is the square of that; to keep a blob at a kilobyte or more, chunks grow
-as the square root of the input (8 MiB up to 64 GB of text, 316 MB at 100 TB). Operators that must know which of their many hashes occur elsewhere don't shuffle a row
+as the square root of the input (4 MiB up to 16 GB of text, 316 MB at 100 TB). Operators that must know which of their many hashes occur elsewhere don't shuffle a row
 for each: a chunk sorts its distinct keys and sends one delta-coded blob to each bucket of the key
 space; a bucket compares the blobs and answers with one small flag per key, in the order it came. A key
 that a third of all documents hold is sent once by each chunk.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TARGET = 8 << 20
+TARGET = 4 << 20
 
 
 def chunked(df: DataFrame, by: str, text: str, target: int = TARGET, name: str = "chunk") -> tuple[DataFrame, int]:

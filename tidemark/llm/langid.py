@@ -25,8 +25,8 @@ from tidemark.llm import blocks
 
 UNDETERMINED = "und"
 SIZE = 1 << 16
-#: Characters handled at once.
-_SLICE = 1 << 18
+#: Characters whose features are held at once, and characters of the texts that go through Viterbi side by side.
+_SLICE, _TOGETHER = 1 << 18, 1 << 21
 #: First and last code point, and script.
 SCRIPT_RANGES = [
     (0x0041, 0x024F, "Latin"), (0x0250, 0x02AF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x0400, 0x052F, "Cyrillic"),
@@ -191,17 +191,21 @@ def label_texts(model: Model, texts: list[str | None], penalty: float) -> tuple[
     texts = [t or "" for t in texts]
     langs, shares, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    for s, e in blocks.slices([len(texts[i]) for i in order], _SLICE):
-        w = words_of([texts[i] for i in order[s:e]])
-        if not len(w.start) or not model.langs:
+    for s, e in blocks.slices([len(texts[i]) for i in order], _TOGETHER) if model.langs else []:
+        own, parts = [texts[i] for i in order[s:e]], []
+        for a, b in blocks.slices([len(t) for t in own], _SLICE):
+            w = words_of(own[a:b])
+            parts.append((model.scores(w), w.count, w.length))
+        scores, count, length = (np.concatenate(x) for x in zip(*parts))
+        if not len(scores):
             continue
-        label = viterbi(model.scores(w), w.count, penalty)
-        doc = np.repeat(np.arange(e - s), w.count)
+        label = viterbi(scores, count, penalty)
+        doc = np.repeat(np.arange(e - s), count)
         k = len(model.langs)
-        letters = np.bincount(doc * k + label, w.length, (e - s) * k).reshape(e - s, k)
+        letters = np.bincount(doc * k + label, length, (e - s) * k).reshape(e - s, k)
         total, top = letters.sum(axis=1), letters.argmax(axis=1)
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])))
-        at, word = np.flatnonzero(new), np.arange(len(doc)) - np.repeat(np.cumsum(w.count) - w.count, w.count)
+        at, word = np.flatnonzero(new), np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         size = np.diff(np.append(at, len(doc)))
         for d, x, first, n in zip(doc[at].tolist(), label[at].tolist(), word[at].tolist(), size.tolist()):
             spans[order[s + d]].append({"lang": model.langs[x], "first": first, "end": first + n})

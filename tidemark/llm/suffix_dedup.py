@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import blocks, workspace
 from tidemark.llm.suffix_sort import repeated_windows
 
-_SLICE, _PIECE, _PLACE = 1 << 19, 1 << 23, np.uint64((1 << 24) - 1)
+_SLICE, _PIECE, _PLACE = 1 << 17, 1 << 23, np.uint64((1 << 24) - 1)
 _SYMBOL = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _ENTRY = np.dtype([("frag", "<u8"), ("n", "u1")])
 WHOLE, SORT, DENSE = 1, 2, 4
