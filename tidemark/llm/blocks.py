@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import workspace
+
 TARGET = 4 << 20
 
 
@@ -27,6 +29,7 @@ def chunked(df: DataFrame, by: str, text: str, target: int = TARGET, name: str =
 
     Rows with equal ``by`` share a chunk; null comes first.
     """
+    workspace.small_batches(df.sparkSession)
     rank = F.coalesce(F.col(by).cast("long"), F.lit(-(1 << 63)))
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts, bounds = max(1, math.ceil(total / max(target, math.isqrt(total << 10)))), np.array([], np.int64)

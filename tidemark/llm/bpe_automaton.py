@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import presplit
+from tidemark.llm import presplit, workspace
 
 _NEVER = 1 << 60
 
@@ -164,5 +164,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
             out = {"doc_id": b["i"], "n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(s.encode("utf-8")).hexdigest() for s in decoded]}
             yield pd.DataFrame(out | ({"ids": [x.astype(np.int32) for x in ids], "decoded": decoded} if keep else {}))
 
+    workspace.small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
     return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, schema)

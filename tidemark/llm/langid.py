@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import blocks
+from tidemark.llm import blocks, workspace
 
 UNDETERMINED = "und"
 SIZE = 1 << 16
@@ -221,6 +221,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     model knows no language. Ties go to the language first in order. A column of docs with the name of a new one
     is replaced. An empty table gives no rows.
     """
+    workspace.small_batches(docs.sparkSession)
     given = docs.drop(lang_pred, score, *([spans] if spans else []))
     at, shared = given.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 

@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             fps = np.fromiter((fingerprint(t, width) for t in b["t"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["i"], "fp": fps.view(np.int64)})
 
+    workspace.small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, fp long")
 
 

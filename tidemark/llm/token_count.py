@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import presplit
+from tidemark.llm import presplit, workspace
 
 
 class Lengths:
@@ -79,6 +79,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     strings inside a text count as one token each. Null counts as empty: 0 bytes, 0 tokens. Repeated
     rows are counted each; an empty table gives no rows; other columns are not read.
     """
+    workspace.small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, tokenizer_path, text, sample_docs, table_size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
