@@ -98,7 +98,8 @@ def fragments(texts: list[bytes], width: int) -> Fragments:
         frag = blocks.mix(blocks.ranges(c, first, last + width) + blocks.mix(shape + np.uint64(1)))
         row = np.array([r for r, _, _ in part])[owner[first]]
         shift = np.array([o for _, o, _ in part])[owner[first]] - (stop - size)[owner[first]]
-        out.append([row, first + shift, last + shift, hashes[anchor], frag])
+        key = blocks.mix(hashes[anchor] + np.uint64(1))  # anchors have small hashes; spread them over all buckets
+        out.append([row, first + shift, last + shift, key, frag])
     return Fragments(*(np.concatenate(x) for x in zip(*out)))
 
 
