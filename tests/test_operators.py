@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import confidence as conf
 from tidemark.functions import text as tx
-from tidemark.operators import clusters, graph, identity, joins, propagate, tasks
+from tidemark.operators import clusters, discovery, graph, identity, joins, propagate, tasks
 
 
 def one(spark, column):
@@ -186,3 +186,25 @@ def test_partners_and_latest(spark):
     edges = spark.createDataFrame([(1, 10, "self"), (1, 11, "sender"), (2, 10, "self"), (2, 11, "cc")], "event_id long, person_id long, role string")
     assert {tuple(r) for r in joins.partners(edges).collect()} == {(10, 11, 2, "cc,sender"), (11, 10, 2, "self")}
     assert [r["event_id"] for r in joins.latest_per(edges, ["person_id"], F.desc("event_id")).collect()] == [2, 2]
+
+
+def test_parted_stories_and_overflow(spark):
+    members = spark.createDataFrame([(1, t, p) for t, p in ((10, 0), (11, 1), (12, 2))] + [(2, 20, 0)], "story int, task int, place int")
+    apart = spark.createDataFrame([(12, 10), (10, 20), (11, 99), (None, 10)], "a int, b int")
+    assert sorted(map(tuple, discovery.part_stories(members, apart).collect()), key=str) == sorted([(1, None, 10), (1, None, 11), (1, 12, 12), (2, None, 20)], key=str)
+    tasks = spark.createDataFrame([("x", i, "immediate") for i in range(5)] + [("x", 9, "review"), ("y", 1, "immediate")], "who string, task int, bucket string")
+    left = discovery.overflow(tasks, "who", F.col("task"), most=2)
+    assert {r["task"] for r in left.filter("who = 'x' and bucket = 'immediate'").collect()} == {0, 1} and left.count() == 7
+
+
+def test_sourced_confidence(spark):
+    df = spark.createDataFrame([("a", 1, "kg", 365.0, 1.0), ("a", 2, "web", -5.0, 2.0), ("b", 3, "unknown", 0.0, 1.0), ("a", 4, "kg", 0.0, None)], "who string, id int, kind string, age double, quality double")
+    got = {r["who"]: tuple(r)[1:] for r in discovery.graded(discovery.sourced(df, "kind", "age", "quality"), "who", "id").collect()}
+    assert got == {"a": ("A", 1, 0.99), "b": (None, None, 0.0)}
+    assert discovery.graded(discovery.sourced(df.limit(0), "kind", "age", "quality"), "who", "id").count() == 0
+
+
+def test_firm_names(spark):
+    mails = ["a@x-y.com", "a@mail.big_co.org", "a@GMAIL.com", "nobody", "", None]
+    df = spark.createDataFrame([(m,) for m in mails], "m string").select(discovery.firm(F.col("m")).alias("f"))
+    assert [r["f"] for r in df.collect()] == ["X Y", "Big Co", None, None, None, None]

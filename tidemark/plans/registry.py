@@ -27,5 +27,5 @@ def query(sql: str | None = None):
 def load() -> None:
     import importlib
 
-    for name in ("event_plans", "claim_plans", "graph_plans", "text_plans", "quality_plans"):
+    for name in ("event_plans", "claim_plans", "graph_plans", "text_plans", "quality_plans", "agent_plans"):
         importlib.import_module(f"tidemark.plans.{name}")
