@@ -8,10 +8,13 @@ folder stands in, removed when the driver exits.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -56,3 +59,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(name))
     if now <= 0 or now > rows:
         spark.conf.set(name, rows)
+
+
+def give_back() -> None:
+    """Let a Python worker that earlier stages used return the memory that it holds but doesn't use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
