@@ -55,3 +55,13 @@ def test_near_stage_keeps_one_of_each(spark):
     texts = near_copies(random.Random(2), 20)
     docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], SCHEMA)
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == set(brute(texts))
+
+
+def test_lengths_are_tokens(spark):
+    """Texts without spaces and special strings count as the library counts them, and one end mark."""
+    from tokenizers import Tokenizer
+
+    texts = ["one two", "日本語のテキスト" * 400, "a" * 9000, "İΣß <|endoftext|>   end", "", None]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = dict(map(tuple, queries.word_lengths(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_automaton, embedding_dedup, exact_dedup, langid, packing, records, simhash, suffix_dedup, token_count, window_dedup
 
@@ -16,9 +15,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): words of the text, and one end mark."""
-    words = F.size(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    return docs.select("doc_id", (words + 1).alias("n_tokens"))
+    """(doc_id, n_tokens): tokens of the text as op3_token_records writes them, its end mark counted."""
+    return records.lengths(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

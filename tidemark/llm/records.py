@@ -115,6 +115,7 @@ class Encoder:
         self.specials = presplit.special_tokens(path)
         self.split, self.words = presplit.splitter(self.specials), presplit.finder(presplit.ASCII_BYTE_PATTERN, presplit.BYTE_PATTERN)
         self.cache = presplit.Cache(self.encode_word, 800_000)
+        self.sizes = presplit.Cache(lambda word: len(self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))), 1 << 16)
 
     def encode_word(self, word: str) -> bytes:
         pieces = self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))
@@ -126,6 +127,11 @@ class Encoder:
             out += [self.specials[part].to_bytes(self.width, "little")] if k % 2 else map(cache.__getitem__, self.words(part))
         return b"".join(out)
 
+    def count(self, text: str) -> int:
+        """The number of ids that encode() gives."""
+        parts, size = self.split(text), self.sizes.__getitem__
+        return len(parts) // 2 + sum(sum(map(size, self.words(part))) for part in parts[::2])
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -165,6 +171,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str
     return sorted((r.asDict() for r in done.collect()), key=lambda r: r["shard"])
 
 
+def lengths(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens) for every row: its ids as write_tokens() writes them, the end id counted; null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workspace.give_back()
+        own = encoder(tokenizer_path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["i"], pa.array([own.count(t or "") + 1 for t in b["t"].to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
+
+    workspace.small_batches(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def read_tokens(spark, shards: list[dict], keep: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record in the files, checksums verified; with keep also ids.
 
