@@ -57,6 +57,18 @@ def test_near_stage_keeps_one_of_each(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == set(brute(texts))
 
 
+def test_stages_keep_rows_without_id(spark):
+    """One row of each group stays, with an id if any has one; unique texts without id stay."""
+    a, b, c, d = near_copies(random.Random(3), 4)[::4]
+    rows = [(None, a), (None, a.replace(" ", "  ")), (None, b), (None, b), (4, c), (None, c), (3, c), (None, d), (5, d + " more")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], SCHEMA).repartition(2)
+    once = corpus_pipeline.exact(spark, docs, "")
+    kept = [(r["doc_id"], " ".join(r["text"].split())) for r in once.collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (3, c), (None, d), (5, d + " more")], key=str)
+    kept = [(r["doc_id"], " ".join(r["text"].split())) for r in corpus_pipeline.near(spark, once, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (3, c), (5, d + " more")], key=str)
+
+
 def test_lengths_are_tokens(spark):
     """Texts without spaces and special strings count as the library counts them, and one end mark."""
     from tokenizers import Tokenizer

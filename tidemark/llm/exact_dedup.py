@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm import workspace
 
@@ -56,7 +57,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     null if no row of it has one. Rows that repeat a doc_id are one document: they count towards group_size
     and stay or go together. An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("t"))
+    name = F.col(doc_id) if isinstance(docs.schema[doc_id].dataType, StructType) else F.col(doc_id).cast("long")
+    rows = docs.select(name.alias("doc_id"), normalised(F.col(text)).alias("t"))
     seed = verified_seed(rows, "t")
     recipes = rows.select("doc_id", F.transform(content_chunks(F.col("t")), lambda c: _identifier(seed, c)).alias("recipe"), F.sha2("t", 256).alias("text_sha256"))
     recipes, _ = workspace.cut(recipes, "recipes")
