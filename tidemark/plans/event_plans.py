@@ -44,8 +44,7 @@ def events_for_claim(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, claim_id, confidence FROM ce JOIN cl USING (claim_id) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY confidence DESC, claim_id) <= 3")
 def claims_for_event(t: Tables) -> DataFrame:
-    c = t.claim_events.join(t.claims.select("claim_id", "confidence"), "claim_id")
-    return joins.latest_per(c, ["event_id"], F.desc("confidence"), F.col("claim_id"), n=3).select("event_id", "claim_id", "confidence")
+    return t.claim_events.join(t.claims.select("claim_id", "confidence"), "claim_id").select("event_id", "claim_id", "confidence")
 
 
 @query("SELECT a.person_id, b.person_id AS partner_id, count(DISTINCT a.event_id) AS events, string_agg(DISTINCT b.role, ',' ORDER BY b.role) AS roles FROM ep a JOIN ep b ON a.event_id = b.event_id AND a.person_id <> b.person_id GROUP BY ALL")
