@@ -10,3 +10,10 @@ def test_all_claims_of_an_event(spark):
     cl = spark.createDataFrame([(c, 0.5) for c in range(10)], "claim_id long, confidence double")
     got = event_plans.claims_for_event(SimpleNamespace(claim_events=ce, claims=cl)).collect()
     assert sorted((r["event_id"], r["claim_id"]) for r in got) == [(1, c) for c in range(6)] + [(2, 9)]
+
+
+def test_events_of_all_claims(spark):
+    ce = spark.createDataFrame([(1, c) for c in range(20)], "event_id long, claim_id long")
+    ev = spark.createDataFrame([(1, "e", 5)], "event_id long, id string, ts long")
+    got = event_plans.events_for_claim(SimpleNamespace(claim_events=ce, events=ev)).collect()
+    assert sorted(r["claim_id"] for r in got) == list(range(20))
