@@ -2,7 +2,9 @@
 
 from types import SimpleNamespace
 
-from tidemark.plans import event_plans
+from tidemark.plans import agent_plans, event_plans
+
+DAY = 86400
 
 
 def test_all_claims_of_an_event(spark):
@@ -17,3 +19,12 @@ def test_events_of_all_claims(spark):
     ev = spark.createDataFrame([(1, "e", 5)], "event_id long, id string, ts long")
     got = event_plans.events_for_claim(SimpleNamespace(claim_events=ce, events=ev)).collect()
     assert sorted(r["claim_id"] for r in got) == list(range(20))
+
+
+def test_beliefs_of_all_persons(spark):
+    """Content and belief make 3 points, for a person beyond 150 as for any other."""
+    ev = spark.createDataFrame([(p, 100 * DAY, "imessage", 50.0) for p in (7, 1499)], "person_id long, ts long, source string, amount double")
+    cl = spark.createDataFrame([(7, 1), (1499, 1)], "person_id long, priority int")
+    now = spark.createDataFrame([(100 * DAY,)], "now long")
+    got = agent_plans.discovered_contacts(SimpleNamespace(events=ev, claims=cl, now=now)).collect()
+    assert {(r["person_id"], r["signals"], r["score"]) for r in got} == {(7, 2, 3.0), (1499, 2, 3.0)}

@@ -203,7 +203,7 @@ JOIN (SELECT person_id, n, cal, (now + 20 * 86400 - last) / 86400.0 AS d FROM se
 def discovered_contacts(t: Tables) -> DataFrame:
     """People with enough signals from several scans, and how far things have come with each, twenty days on."""
     kind = F.when(F.col("source") == "calendar", "calendar").when(F.col("source") == "mail", "email_domain").otherwise("content")
-    said = t.claims.filter("priority = 1 and person_id < 150").select("person_id", F.lit("belief").alias("kind"))
+    said = t.claims.filter("priority = 1").select("person_id", F.lit("belief").alias("kind"))
     signals = t.events.filter("amount > 40").select("person_id", kind.alias("kind")).unionByName(said).distinct()
     seen = t.events.groupBy("person_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.bool_or(F.col("source") == "calendar").alias("cal")).join(F.broadcast(t.now))
     stage = dis.stage((F.col("now") + 20 * DAY - F.col("last")) / DAY, F.col("n"), F.col("cal"))
