@@ -77,3 +77,20 @@ def test_lengths_are_tokens(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = dict(map(tuple, queries.word_lengths(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
     assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_sample_of_huge_language():
+    for rows in (1, 10**4, 10**10, 10**13):
+        picked = langid.highest_hash(3000, rows) + 2**63 + 1
+        assert abs(picked / 2**64 - min(1, 3000 / rows)) <= 1e-6 * 3000 / rows
+
+
+def test_empty_sample_raises(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'the cat and the dog' AS text", "'en' AS lang")
+    with pytest.raises(ValueError, match="sample"):
+        langid.fit(docs, docs_per_lang=1e-9)
+
+
+def test_sample_of_rows_without_id(spark):
+    docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('the cat and dog ', id) AS text", "'en' AS lang")
+    assert langid.fit(docs, docs_per_lang=200).langs == ["en"]

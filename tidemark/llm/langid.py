@@ -149,12 +149,18 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 3000, max_langs: int = 500, slots: int = 1 << 20) -> Model:
-    """Learn from the rows with text and lang, about docs_per_lang of each language, picked by a hash of ``key``.
+def highest_hash(wanted: float, rows: int) -> int:
+    """The largest signed 64-bit hash that is still picked, so that about ``wanted`` of ``rows`` rows are."""
+    return max(1, int(wanted / rows * 2**64)) - 2**63 - 1 if wanted < rows else 2**63 - 1
 
-    Raises if there are more than max_langs languages, the bound of the model's size. No labelled rows: a model of no language.
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: float = 3000, max_langs: int = 500) -> Model:
+    """Learn from the rows with text and lang, about docs_per_lang of each language, picked by a hash of ``key`` (of the text if null).
+
+    Raises if there are more than max_langs languages, the bound of the model's size, or if the sample of a language
+    comes out empty. No labelled rows: a model of no language.
     """
-    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).alias("s"))
+    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key))).alias("s"))
     have = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(have) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
@@ -163,13 +169,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return Model([], np.zeros((0, SIZE)), np.zeros((0, SIZE)), np.zeros((0, len(SCRIPTS)), bool))
     picked = F.lit(False)
     for x in langs:
-        picked = picked | ((F.col("l") == x) & (F.col("s") < int(min(1.0, docs_per_lang / have[x]) * slots)))
+        picked = picked | ((F.col("l") == x) & (F.col("s") <= highest_hash(docs_per_lang, have[x])))
     width = 2 * SIZE + len(SCRIPTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), width), np.int64)
+        total, learned = np.zeros((len(langs), width), np.int64), np.zeros(len(langs), np.int64)
         for b in batches:
             texts, labels = b["t"].to_pylist(), b["l"].to_pylist()
+            learned += np.bincount([langs.index(x) for x in labels], minlength=len(langs)).astype(np.int64)
             for s, e in blocks.slices([len(t) for t in texts], _SLICE):
                 w = words_of(texts[s:e])
                 of_word = np.repeat([langs.index(x) for x in labels[s:e]], w.count)
@@ -177,13 +184,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 for shift, f in ((0, w.pair), (SIZE, w.triple)):
                     total += np.bincount(of_letter * width + shift + f, minlength=total.size).reshape(total.shape)
                 total += np.bincount(of_word * width + 2 * SIZE + w.script, w.length, minlength=total.size).reshape(total.shape).astype(np.int64)
+        total = np.concatenate((total, learned[:, None]), axis=1)
         k, f = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(total[k, f])], ["k", "f", "n"])
 
-    counts = np.zeros((len(langs), width))
+    counts = np.zeros((len(langs), width + 1))  # the last column: rows of the sample
     found = rows.filter(picked).select("t", "l").mapInArrow(count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).toArrow()
     counts[found["k"].to_numpy(), found["f"].to_numpy()] = found["n"].to_numpy()
-    return Model.fit(langs, counts[:, : 2 * SIZE].reshape(len(langs), 2, SIZE), counts[:, 2 * SIZE :])
+    if not counts[:, -1].all():
+        raise ValueError(f"no row in the sample of {[x for x, n in zip(langs, counts[:, -1]) if not n][:10]}")
+    return Model.fit(langs, counts[:, : 2 * SIZE].reshape(len(langs), 2, SIZE), counts[:, 2 * SIZE : -1])
 
 
 def label_texts(model: Model, texts: list[str | None], penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
