@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,13 +52,13 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(doc_id long, fp long): the fingerprint of each row's whole text; null and empty texts get 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in b["t"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["i"], "fp": fps.view(np.int64)})
+            fps = np.fromiter((fingerprint(t, width) for t in b["t"].to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b["i"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     workspace.small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _turned(col: str, by: str) -> str:
