@@ -2,7 +2,9 @@
 
 The first tier is a broadcast hash table from frequent pre-tokens to their number of tokens. It has
 at most ``table_size`` entries of at most 64 characters, whatever the corpus. It comes from about
-``sample_docs`` rows and is only a cache: the counts don't depend on it. Pre-tokens that it lacks go
+``sample_docs`` rows and is only a cache: the counts don't depend on it. Each task counts its own rows of the
+sample and hands over its most frequent pre-tokens, ``words_each`` for a row at most, so what all of them hand
+to the driver has a bound too. Pre-tokens that the table lacks go
 through a bounded cache of each Python worker, which encodes them with the tokenizer's own model.
 """
 
@@ -13,7 +15,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ class Lengths:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        presplit.expect_file(path, presplit.WORD_LEVEL)
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalize = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
         self.split = presplit.splitter(presplit.special_tokens(path))
@@ -52,24 +54,31 @@ def lengths(path: str) -> Lengths:
     return Lengths(path)
 
 
-def frequent(docs: DataFrame, tokenizer_path: str, text: str = "text", sample_docs: int = 4000, table_size: int = 1 << 16, seed: int = 7) -> dict[str, int]:
-    """The first tier: lengths of the most frequent short pre-tokens of about sample_docs rows."""
+def frequent(docs: DataFrame, tokenizer_path: str, text: str = "text", sample_docs: int = 4000, table_size: int = 1 << 16, words_each: int = 128, seed: int = 7) -> dict[str, int]:
+    """The first tier: lengths of the most frequent short pre-tokens of about sample_docs rows. No pre-token is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = lengths(tokenizer_path), Counter()
+        own, counts, n = lengths(tokenizer_path), Counter(), 0
         for b in batches:
             for t in b["t"].to_pylist():
+                n += 1
                 if t:
                     counts.update(w for w in own.pre_tokens(t)[0] if len(w) <= presplit.LONGEST_CACHED)
-        top = counts.most_common(table_size)
-        yield pa.RecordBatch.from_pydict({"w": [w for w, _ in top], "c": [c for _, c in top], "n": [own.cache[w] for w, _ in top]}, pa.schema([("w", pa.string()), ("c", pa.int64()), ("n", pa.int32())]))
+        top = counts.most_common(min(table_size, n * words_each))
+        if top:
+            yield pa.RecordBatch.from_pydict({"top": [[{"w": w, "c": c, "n": own.cache[w]} for w, c in top]]}, schema)
 
+    schema = pa.schema([("top", pa.list_(pa.struct([("w", pa.string()), ("c", pa.int64()), ("n", pa.int32())])))])
     rows = docs.count()
     if not rows:
         return {}
-    part = docs.select(F.col(text).alias("t")).sample(min(1.0, sample_docs / rows), seed).mapInArrow(run, "w string, c long, n int")
-    top = part.groupBy("w").agg(F.sum("c").alias("c"), F.first("n").alias("n")).orderBy(F.desc("c"), "w").limit(table_size)
-    return {r["w"]: r["n"] for r in top.select("w", "n").toLocalIterator()}
+    parts = docs.select(F.col(text).alias("t")).sample(min(1.0, sample_docs / rows), seed).mapInArrow(run, "top array<struct<w: string, c: long, n: int>>")
+    counts, known = Counter(), {}
+    for r in parts.collect():
+        for w, c, n in r["top"]:
+            counts[w] += c
+            known[w] = n
+    return {w: known[w] for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:table_size]}
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2048, sample_docs: int = 4000, table_size: int = 1 << 16) -> DataFrame:
@@ -77,16 +86,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
     n_tokens is what the library gives for the whole text without added special tokens; special
     strings inside a text count as one token each. Null counts as empty: 0 bytes, 0 tokens. Repeated
-    rows are counted each; an empty table gives no rows; other columns are not read.
+    rows are counted each, rows without doc_id too; an empty table gives no rows; other columns are not read.
     """
     workspace.small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, tokenizer_path, text, sample_docs, table_size))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = lengths(tokenizer_path), table.value.get
         for b in batches:
             n_bytes, n_tokens = [], []
-            for t in b["t"]:
+            for t in b["t"].to_pylist():
                 t = t or ""
                 words, specials = own.pre_tokens(t)
                 known = list(map(first, words))
@@ -94,7 +103,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
                     known = [own.cache[w] if n is None else n for w, n in zip(words, known)]
                 n_tokens.append(specials + sum(known))
                 n_bytes.append(len(t) if t.isascii() else len(t.encode("utf-8")))
-            yield pd.DataFrame({"doc_id": b["i"], "n_bytes": n_bytes, "n_tokens": n_tokens})
+            yield pa.RecordBatch.from_arrays([b["i"], pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    counted = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
