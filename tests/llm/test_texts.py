@@ -165,7 +165,7 @@ def test_automaton_follows_any_merges(pairs, word):
             out.append(w if hit else ids[i])
             i += 1 + hit
         ids = out
-    assert np.frombuffer(bpe_automaton.Automaton(labels, merges).path(word.encode()), "<u4").tolist() == ids
+    assert np.frombuffer(bpe_automaton.Automaton(labels, merges).compile().path(word.encode()), "<u4").tolist() == ids
 
 
 def test_language_id(small, docs, no_docs):
@@ -319,6 +319,31 @@ def test_null_ids(spark):
         assert sorted((r["doc_id"] is None for r in got.collect())) == [False, True, True]
 
 
+def test_large_ids_beside_null(spark):
+    """Ids above 2**53 come back as they are, whoever their neighbours are."""
+    given_ids = {9007199254740993: "a b c d", 9007199254740995: "e f", None: "g"}
+    df = spark.createDataFrame([(i, t) for i, t in given_ids.items()], "doc_id long, text string").coalesce(1)
+    for got in (simhash.near_duplicates(df), token_count.token_counts(df, WORD), bpe_automaton.encode_decode(df, BYTE), records.token_files(df, BYTE), window_dedup.remove_repeats(df), suffix_dedup.remove_repeats(df), exact_dedup.exact_duplicates(df), records.lengths(df, BYTE)):
+        assert {r["doc_id"] for r in got.collect()} == set(given_ids)
+    marked = langid.identify(df.selectExpr("doc_id", "text", "'en' AS lang"))
+    assert {r["doc_id"] for r in marked.collect()} == set(given_ids)
+
+
+def test_rows_without_id_count(spark):
+    rows_ = [(None, "İΣß <|endoftext|> end"), (None, None), (4, "one two")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    for path, got in ((WORD, token_count.token_counts(df, WORD)), (BYTE, bpe_automaton.encode_decode(df, BYTE))):
+        _, ids = library(path, [t for _, t in rows_])
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == Counter((d, len(x)) for (d, _), x in zip(rows_, ids))
+
+
+@pytest.mark.parametrize("operator", [token_count.token_counts, bpe_automaton.encode_decode, records.lengths])
+def test_other_tokenizer_files_are_refused(spark, operator):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="not of the kind"):
+        operator(df, BYTE if operator is token_count.token_counts else WORD).collect()
+
+
 def test_registered():
     import __spark_entry__ as entry
 

@@ -8,21 +8,28 @@ starts as one state with a loop for each byte. Each merge (u, v) -> w in turn ap
 * every state with a u arc gains a w arc, to the state that v led to.
 
 States therefore differ in the arcs that they lost, and a token leads to one state from wherever it
-starts. So a state is kept as a difference: the arcs its own gadgets removed, with their times, and the
+starts. While the gadgets run a state is kept as a difference: the arcs its own gadgets removed, with their times, and the
 state that it copied, with the time. An arc w is there if none of the arcs it grew from (w, its left
-part, that one's left part and so on) was removed while the next had not been born. Rows of the
-transition table are filled in as words ask for them.
+part, that one's left part and so on) was removed while the next had not been born.
+
+Then the transition table is compiled. Tokens are numbered along the tree of left parts, children by their birth, so
+all arcs that grew from a lost one are a range of numbers, and a state's row is a short list of the ranges that it
+lacks. The table is built once, on the driver, and broadcast; its size follows the vocabulary alone.
+
+The automaton accepts one path for each byte string, so each prefix of a word has one state. A word is read from left
+to right: the state after a prefix is that of the one token which ends there and which the table allows after the
+state where it starts. Nothing is searched or taken back. The arcs' labels spell the decoded text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +39,9 @@ _NEVER = 1 << 60
 
 
 class Automaton:
-    def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], most: int = 500_000):
+    """The gadgets, one for each merge; compile() gives the transition table."""
+
+    def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]]):
         """labels: the bytes of each token; merges: (u, v, w) in order of their priority."""
         self.labels, self.token = labels, {}
         self.left: list[int] = [-1] * len(labels)
@@ -40,16 +49,11 @@ class Automaton:
         #: Of each state, named by a token that leads to it: what its gadgets removed, and the state it copied with the time.
         self.lost: list[dict[int, int]] = [{} for _ in labels]
         self.copied: list[tuple[int, int] | None] = [None] * len(labels)
-        self.rows: dict[int, int] = {}
-        self.longest: dict[bytes, int] = {}
         for i, b in enumerate(labels):
             if len(b) == 1:
                 self.token[b] = i
         for time, (u, v, w) in enumerate(merges):
             self.gadget(time, u, v, w)
-        for b in self.token:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
-        self.cache = presplit.Cache(self.path, most)
 
     def gadget(self, time: int, u: int, v: int, w: int) -> None:
         if self.token.get(self.labels[u]) != u or self.token.get(self.labels[v]) != v or not self.has_arc(u, v):
@@ -76,49 +80,111 @@ class Automaton:
                 return True
             a, until = self.copied[a]
 
-    def step(self, a: int, t: int) -> bool:
-        key = a << 20 | t
-        known = self.rows.get(key)
-        if known is None:
-            if len(self.rows) >= 1 << 20:
-                self.rows.clear()
-            known = self.rows[key] = self.has_arc(a, t)
-        return known
+    def compile(self) -> Table:
+        children: dict[int, list[int]] = {}
+        for t in sorted(self.token.values(), key=lambda t: (self.born[t], t)):
+            children.setdefault(self.left[t], []).append(t)
+        number, past, todo, count = np.full(len(self.labels), -1, np.int32), [0] * len(self.labels), [(t, False) for t in reversed(children.get(-1, []))], 0
+        while todo:
+            t, done = todo.pop()
+            if done:
+                past[t] = count
+                continue
+            number[t] = count
+            count += 1
+            todo.append((t, True))
+            todo += [(c, False) for c in reversed(children.get(t, []))]
+
+        def gone(t: int, time: int) -> list[tuple[int, int]]:
+            """The arc t, and all that grew from it no earlier than it was lost."""
+            grown = children.get(t, [])
+            k = bisect_left(grown, time, key=self.born.__getitem__)
+            return [(int(number[t]), int(number[t]) + 1)] + ([(int(number[grown[k]]), past[t])] if k < len(grown) else [])
+
+        row, edges = np.zeros(len(self.labels) + 1, np.int64), []
+        for state in range(len(self.labels)):
+            lacks, a, until = [], state, _NEVER
+            while number[state] >= 0:
+                for t, time in self.lost[a].items():
+                    if time < until:
+                        lacks += gone(t, time)
+                if self.copied[a] is None:
+                    break
+                a, until = self.copied[a]
+            end = -1
+            for lo, hi in sorted(lacks):
+                if lo > end:
+                    edges += [lo, hi]
+                elif hi > edges[-1]:
+                    edges[-1] = hi
+                end = edges[-1]
+            row[state + 1] = len(edges)
+        return Table(self.labels, self.token, number, row, np.array(edges, np.int32))
+
+
+class Table:
+    """The transition table: which tokens may follow which, and what their arcs are labelled."""
+
+    def __init__(self, labels: list[bytes], token: dict[bytes, int], number: np.ndarray, row: np.ndarray, edges: np.ndarray, most: int = 500_000):
+        """number: each token's place in the rows; edges of a state: where the ranges of arcs that it lacks begin and end, in order."""
+        self.labels, self.token, self.number, self.row, self.edges, self.most = labels, token, number, row, edges, most
+        self.rest()
+
+    def rest(self) -> None:
+        self.longest: dict[bytes, int] = {}
+        for b in self.token:
+            self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
+        self.rows: dict[int, list[int]] = {}
+        self.places = self.number.tolist()
+        self.cache = presplit.Cache(self.path, self.most)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("longest", "rows", "places", "cache")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.rest()
+
+    def step(self, state: int, t: int) -> bool:
+        """Whether the table has an arc t from a state, which is named by a token that leads to it."""
+        row = self.rows.get(state)
+        if row is None:
+            row = self.rows[state] = self.edges[self.row[state] : self.row[state + 1]].tolist()
+        return not bisect_left(row, self.places[t] + 1) & 1
 
     def path(self, word: bytes) -> bytes:
-        """The labels' ids, as little-endian 32-bit integers, of the one accepted path that spells the word."""
-        end, token, dead = len(word), self.token, set()
-        at, size = 0, min(end, self.longest.get(word[:2], 1))
-        ids: list[int] = []
-        sizes: list[int] = []
-        while at < end:
-            last = ids[-1] if ids else -1
-            for n in range(size, 0, -1):
-                t = token.get(word[at : at + n])
-                if t is not None and (at + n, t) not in dead and (last < 0 or self.step(last, t)):
-                    ids.append(t)
-                    sizes.append(n)
-                    at += n
-                    size = min(end - at, self.longest.get(word[at : at + 2], 1))
+        """The tokens' ids, as little-endian 32-bit integers, of the one accepted path that spells the word."""
+        token, step = self.token, self.step
+        whole = token.get(word)
+        if whole is not None:  # every arc starts at the first state
+            return whole.to_bytes(4, "little")
+        states = [-1] * (len(word) + 1)
+        for end in range(1, len(word) + 1):
+            reach = self.longest.get(word[max(0, end - 2) : end], 1)
+            for start in range(max(0, end - reach), end):
+                t = token.get(word[start:end])
+                if t is not None and (not start or step(states[start], t)):
+                    states[end] = t
                     break
             else:
-                if not ids:
-                    raise ValueError(f"no path spells {word[:40]!r}")
-                dead.add((at, ids.pop()))
-                n = sizes.pop()
-                at, size = at - n, n - 1
-        return np.array(ids, "<u4").tobytes()
+                raise ValueError(f"no path spells {word[:40]!r}")
+        ids, at = [], len(word)
+        while at:
+            ids.append(states[at])
+            at -= len(self.labels[states[at]])
+        return np.array(ids[::-1], "<u4").tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids.tolist()))
 
 
 class Codec:
-    """Encoder and decoder for a byte-level tokenizer file: special strings, pre-splitting, automaton."""
+    """Encoder and decoder for a byte-level tokenizer file: special strings, pre-splitting, table."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        presplit.expect(spec, presplit.BYTE_LEVEL)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         back = {chr(c): b for b, c in presplit.byte_alphabet().items()}
         self.specials = presplit.special_tokens(path)
@@ -126,13 +192,23 @@ class Codec:
         for s, i in vocab.items():
             labels[i] = bytes(back[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        self.automaton = Automaton(labels, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs])
+        self.table = Automaton(labels, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]).compile()
         for s, i in self.specials.items():
             labels[i] = s.encode("utf-8")
+        self.ready()
+
+    def ready(self) -> None:
         self.split, self.words = presplit.splitter(self.specials), presplit.finder(presplit.ASCII_BYTE_PATTERN, presplit.BYTE_PATTERN)
 
+    def __getstate__(self) -> dict:
+        return {"specials": self.specials, "table": self.table}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.ready()
+
     def encode(self, text: str) -> np.ndarray:
-        parts, out, paths = self.split(text), [], self.automaton.cache
+        parts, out, paths = self.split(text), [], self.table.cache
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(self.specials[part].to_bytes(4, "little"))
@@ -141,29 +217,28 @@ class Codec:
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.automaton.decode(ids).decode("utf-8", "replace")
-
-
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+        return self.table.decode(ids).decode("utf-8", "replace")
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; with keep also ids and decoded.
 
-    Null counts as empty: no tokens, an empty decoded text. Repeated rows are encoded each; an empty
-    table gives no rows; other columns are not read. The automaton is compiled once in each worker.
+    Null counts as empty: no tokens, an empty decoded text. Repeated rows are encoded each, rows without doc_id too; an
+    empty table gives no rows; other columns are not read. The table is compiled once, on the driver; the tokenizer
+    file must be of the byte-level kind whose patterns presplit has, else this raises.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Codec(tokenizer_path))
+    schema = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * keep
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for b in batches:
-            ids = [own.encode(t or "") for t in b["t"]]
+            ids = [own.encode(t or "") for t in b["t"].to_pylist()]
             decoded = [own.decode(x) for x in ids]
-            out = {"doc_id": b["i"], "n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(s.encode("utf-8")).hexdigest() for s in decoded]}
-            yield pd.DataFrame(out | ({"ids": [x.astype(np.int32) for x in ids], "decoded": decoded} if keep else {}))
+            out = [b["i"], [len(x) for x in ids], [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], [hashlib.sha256(s.encode("utf-8")).hexdigest() for s in decoded]]
+            out += [[x.astype(np.int32) for x in ids], decoded] if keep else []
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(out, schema)], schema=pa.schema(schema))
 
     workspace.small_batches(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, schema)
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, ddl)

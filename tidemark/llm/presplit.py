@@ -17,10 +17,35 @@ WORD_PATTERN = rf"[\p{{L}}]+|[\p{{N}}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}\p{{L}}\p{
 ASCII_BYTE_PATTERN = r" ?[A-Za-z]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 ASCII_WORD_PATTERN = r"[A-Za-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t-\rA-Za-z0-9]+"
 
+#: What the two kinds of tokenizer files say of themselves where the functions here follow them.
+BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}
+WORD_LEVEL = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ]},
+}
+
 #: Longer pre-tokens are encoded each time, so that the entries of a cache bound its size.
 LONGEST_CACHED = 64
 
 
+def expect(spec: dict, kind: dict) -> None:
+    """Raise unless a tokenizer file splits and normalises texts as the functions here do."""
+    without = lambda x: {k: without(v) for k, v in x.items() if k != "trim_offsets"} if isinstance(x, dict) else [without(v) for v in x] if isinstance(x, list) else x
+    for part, wanted in kind.items():
+        if without(spec.get(part)) != wanted:
+            raise ValueError(f"the tokenizer file's {part} is not of the kind that this operator follows")
+    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in spec.get("added_tokens", [])):
+        raise ValueError("special strings must be matched as they are")
+
+
+def expect_file(path: str, kind: dict) -> None:
+    with open(path, encoding="utf-8") as f:
+        expect(json.load(f), kind)
+
+
 def finder(ascii_pattern: str, pattern: str) -> Callable[[str], list[str]]:
     """All matches of the pattern in a text."""
     plain, full = re.compile(ascii_pattern).findall, regex.compile(pattern).findall

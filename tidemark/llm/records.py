@@ -109,6 +109,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        presplit.expect_file(path, presplit.BYTE_LEVEL)
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.alphabet = self.tokenizer.model, presplit.byte_alphabet()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
