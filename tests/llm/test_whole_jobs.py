@@ -40,17 +40,26 @@ def brute(texts):
     return root
 
 
-@pytest.mark.parametrize("dense", [64, 2])
-def test_near_stage_finds_similar_texts(spark, dense):
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_stage_finds_similar_texts(spark, block):
     """Components are those of brute force at 5 words and 0.8, also where bands are dense; pairs at 0.8 to 0.95 are among them."""
     texts = near_copies(random.Random(1), 40) + ["only four words here", "ONLY four  words here", "only four words there"]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 0.8 <= similarity(texts[i], texts[j]) <= 0.95]
     assert len(pairs) > 50
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    found = dict(map(tuple, shingle_dedup.near_components(df, "row", dense=dense).collect()))
+    found = dict(map(tuple, shingle_dedup.near_components(df, "row", block=block).collect()))
     assert [found.get(i, i) for i in range(len(texts))] == brute(texts)
 
 
+def test_long_texts_are_alike_by_their_least_shingles():
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(6000)]
+    for share, expected in ((0.01, True), (0.3, False)):
+        other = [f"x{rng.randint(0, 10**6)}" if rng.random() < share else w for w in words]
+        x, y = (shingle_dedup.bottom(shingle_dedup.shingles(" ".join(t))) for t in (words, other))
+        assert shingle_dedup.alike(x, y, 0.8) == expected
+
+
 def test_near_stage_keeps_one_of_each(spark):
     texts = near_copies(random.Random(2), 20)
     docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], SCHEMA)

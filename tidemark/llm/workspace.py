@@ -1,8 +1,8 @@
 """Shared scratch space: tables that cut lineage and files that executors hand to each other.
 
 Everything lands under ``spark.checkpoint.dir`` as the session has it, the one folder that the
-driver and all executors are known to share. Only where that is unset (local tests) a private
-folder stands in, removed when the driver exits.
+driver and all executors are known to share. Only where that is unset and Spark runs in local mode a private
+folder stands in, removed when the driver exits; on a cluster that would lose files silently, so root() raises.
 """
 
 from __future__ import annotations
@@ -12,18 +12,24 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_local = threading.local()
 
 
 def root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -38,10 +44,38 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: a lost executor then costs no recomputation."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if own := _scopes():
+        own[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside go at the end; only what keep() wrote stays. Lazy results of them must not leave."""
+    _scopes().append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_scopes().pop())
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """As cut(), for a table that outlives the innermost scratch()."""
+    inner = _scopes().pop() if _scopes() else None
+    try:
+        return cut(df, name)[0]
+    finally:
+        if inner is not None:
+            _scopes().append(inner)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables or files of cut() and new_path() that nothing reads any more."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
