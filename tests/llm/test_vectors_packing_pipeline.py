@@ -114,9 +114,36 @@ def test_plan(histogram):
     permitted = [8, 16, 32, 64]
     plan = packing.best_plan(histogram, permitted, 2.0)
     check_plan({k: n for k, n in histogram.items() if n}, plan, permitted)
-    one = packing._plan(histogram, [64], permitted, 2.0)
+    one = packing._plan(histogram, [64], packing.prices(permitted, 2.0))
     assert sum(n for _, n, _, _ in one.bins) == one_by_one(histogram, 64)
-    assert plan.cost <= one.cost
+    assert packing.least_cost(histogram, packing.prices(permitted, 2.0)) <= plan.cost + 1e-9
+
+
+def optimum(pieces, price):
+    """The least cost of any packing of a few pieces: the best over all ways to part them into bins."""
+    least = [0.0] + [float("inf")] * ((1 << len(pieces)) - 1)
+    total = [sum(p for i, p in enumerate(pieces) if m >> i & 1) for m in range(1 << len(pieces))]
+    alone = [min((p for c, p in price.items() if c >= t), default=float("inf")) for t in total]
+    for m in range(1, 1 << len(pieces)):
+        first, part = m & -m, m
+        while part:
+            if part & first:
+                least[m] = min(least[m], alone[part] + least[m ^ part])
+            part = (part - 1) & m
+    return least[-1]
+
+
+def test_plans_are_near_the_optimum():
+    """On small cases against all ways to pack: the optimum in most, close to it in the others."""
+    rng, permitted = random.Random(8), [8, 16, 32, 64]
+    price, ratios, sizes = packing.prices(permitted, 2.0, 16), [], Counter()
+    for _ in range(250):
+        pieces_ = [rng.randint(1, rng.choice([8, 20, 64])) for _ in range(rng.randint(1, 9))]
+        plan = packing.best_plan(Counter(pieces_), permitted, 2.0, 16)
+        sizes.update(size for _, n, _, size in plan.bins for _ in range(n))
+        ratios.append(plan.cost / optimum(pieces_, price))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.3 and sum(r <= 1 + 1e-9 for r in ratios) >= 0.7 * len(ratios) and sum(ratios) / len(ratios) <= 1.02, (max(ratios), sum(r <= 1 + 1e-9 for r in ratios), sum(ratios) / len(ratios))
+    assert set(sizes) == set(permitted)
 
 
 def test_plan_of_billions_is_small():

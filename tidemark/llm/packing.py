@@ -2,10 +2,11 @@
 
 Only the number of pieces of each length decides a packing, and there are at most as many lengths as the largest
 sequence has tokens, so the plan is made on the driver from that histogram, of bounded size whatever the corpus.
-Lengths are taken in descending order. A piece goes into the open bin that it fills best; if it fits
-none, a bin opens of the size that costs least for each token the remaining pieces of this length can put
-into it. At the end each bin shrinks to the smallest permitted size that holds its contents. The plan is made
-for each largest size allowed, with the smaller ones and alone, and the one that costs least is taken. Equal bins are kept as ranges, never one by one.
+A sequence costs its length, times a term for attention that grows with it, and a constant. Lengths are taken in
+descending order. A piece goes into the open bin that it fills best; if it fits none, bins open of the size that costs
+least for each token that all remaining pieces can put into so many of them. At the end each bin shrinks to the
+smallest permitted size that holds its contents. Which of the permitted sizes may open is decided by the cost of
+the whole plan: sizes are left out one after the other as long as that makes it cheaper. Equal bins are kept as ranges, never one by one.
 
 Pieces of a length are numbered in parallel (per salt, then offset), and number and length give
 the bin.
@@ -13,7 +14,7 @@ the bin.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -35,8 +36,19 @@ class Plan:
     cost: float = 0.0
 
 
-def _plan(histogram: dict[int, int], sizes: list[int], permitted: list[int], bin_cost: float) -> Plan:
-    plan, rooms, opened = Plan(), [], 0
+def prices(permitted: list[int], bin_cost: float = 16.0, model_width: int = 4096) -> dict[int, float]:
+    """What a sequence of each size costs, in tokens of linear work: attention adds size / (6 model widths) for each token."""
+    return {c: c * (1 + c / (6 * model_width)) + bin_cost for c in permitted}
+
+
+def least_cost(histogram: dict[int, int], price: dict[int, float]) -> float:
+    """What no packing can go below: each token at the lowest rate of the sizes that hold its piece."""
+    return sum(n * x * min(p / c for c, p in price.items() if c >= x) for x, n in histogram.items() if n)
+
+
+def _plan(histogram: dict[int, int], sizes: list[int], price: dict[int, float]) -> Plan:
+    plan, rooms, opened, permitted = Plan(), [], 0, sorted(price)
+    rest = sorted(x for x, n in histogram.items() if n)  # lengths not yet begun
     open_bins: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # room -> (first bin, bins, tokens)
     closed: list[tuple[int, int, int]] = []
 
@@ -48,7 +60,18 @@ def _plan(histogram: dict[int, int], sizes: list[int], permitted: list[int], bin
             insort(rooms, room)
         open_bins[room].append((first, count, used))
 
-    for length in sorted((x for x, n in histogram.items() if n), reverse=True):
+    def rate(size: int) -> float:
+        """The cost of a token in as many bins of a size as the rest of this length takes, filled up with shorter pieces."""
+        each = min(left, size // length)
+        bins, room = left // each, size - each * length
+        k = len(rest)
+        while room and (k := bisect_right(rest, room, 0, k)):
+            k -= 1
+            room -= min(room // rest[k], histogram[rest[k]] // bins) * rest[k]
+        return price[size] / (size - room)
+
+    while rest:
+        length = rest.pop()
         number, left = 0, histogram[length]
         while left:
             at = bisect_left(rooms, length)
@@ -63,7 +86,7 @@ def _plan(histogram: dict[int, int], sizes: list[int], permitted: list[int], bin
                     put_back(room, first + take, count - take, used)
                 put_back(room - length, first, take, used + length)
             else:
-                size = min((c for c in sizes if c >= length), key=lambda c: ((c + bin_cost) / (min(left, c // length) * length), -c))
+                size = min((c for c in sizes if c >= length), key=lambda c: (rate(c), -c))
                 each = min(left, size // length)
                 count = left // each
                 take = count * each
@@ -77,18 +100,24 @@ def _plan(histogram: dict[int, int], sizes: list[int], permitted: list[int], bin
     for first, count, used in sorted(closed):
         size = next(c for c in permitted if c >= used)
         plan.bins.append((first, count, used, size))
-        plan.cost += count * (size + bin_cost)
+        plan.cost += count * price[size]
     plan.placed.sort()
     return plan
 
 
-def best_plan(histogram: dict[int, int], permitted: list[int], bin_cost: float = 16.0) -> Plan:
-    """The cheapest of the plans that open bins up to each permitted size that holds the longest piece, or of that size alone."""
-    permitted, longest = sorted(set(permitted)), max((x for x, n in histogram.items() if n), default=0)
-    if not permitted or permitted[0] < 1 or longest > permitted[-1]:
+def best_plan(histogram: dict[int, int], permitted: list[int], bin_cost: float = 16.0, model_width: int = 4096) -> Plan:
+    """The cheapest plan found by leaving out permitted sizes, one after the other, while the whole plan gets cheaper."""
+    sizes, longest = sorted(set(permitted)), max((x for x, n in histogram.items() if n), default=0)
+    if not sizes or sizes[0] < 1 or longest > sizes[-1]:
         raise ValueError("the permitted sizes must be positive and hold the longest piece")
-    choices = [sizes for top in permitted if top >= longest for sizes in ([c for c in permitted if c <= top], [top])]
-    return min((_plan(histogram, sizes, permitted, bin_cost) for sizes in choices), key=lambda p: p.cost)
+    price = prices(sizes, bin_cost, model_width)
+    best = _plan(histogram, sizes, price)
+    while True:
+        fewer = [x for x in ([c for c in sizes if c != gone] for gone in sizes) if x and x[-1] >= longest]
+        found = min(((_plan(histogram, x, price), x) for x in fewer), key=lambda p: p[0].cost, default=None)
+        if found is None or found[0].cost >= best.cost:
+            return best
+        best, sizes = found
 
 
 def pieces(lengths: DataFrame, doc_id: str, n_tokens: str, longest: int) -> DataFrame:
@@ -100,13 +129,15 @@ def pieces(lengths: DataFrame, doc_id: str, n_tokens: str, longest: int) -> Data
     return cut.select("doc_id", "piece", first.alias("first"), F.least(F.col("total") - first, F.lit(longest)).cast("int").alias("n"))
 
 
-def numbered(rows: DataFrame, per_salt: int = 200_000) -> tuple[DataFrame, dict[int, int]]:
+def numbered(rows: DataFrame, per_salt: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """rows with ``number``, 0 and up within each n by (salt, doc_id, piece); and the histogram of n.
 
-    A length that very many pieces share is spread over salts by a hash of the document, about per_salt to each, so no
-    task orders all of it. Others have one salt, so the offsets are at most one for each n and each per_salt rows.
+    A length that many pieces share is spread over salts by a hash of the document, about per_salt to each, so no
+    task orders all of it. By default that is one in 2,048 of all pieces, but 200 at least and 200,000 at most. So the offsets are
+    at most one for each n and each per_salt rows: a few thousand up to 400 million pieces, then one in 200,000 pieces.
     """
     histogram = {r["n"]: r["c"] for r in rows.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    per_salt = per_salt or max(200, min(200_000, sum(histogram.values()) // 2048))
     spread = rows.sparkSession.createDataFrame([(n, -(-c // per_salt)) for n, c in sorted(histogram.items())], "n int, salts long")
     salted = rows.join(F.broadcast(spread), "n").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +148,7 @@ def numbered(rows: DataFrame, per_salt: int = 200_000) -> tuple[DataFrame, dict[
     return out.withColumn("number", F.col("offset") + F.col("within") - 1).drop("salt", "within", "offset"), histogram
 
 
-def pack(lengths: DataFrame, permitted: tuple[int, ...] = (512, 1024, 2048, 4096), doc_id: str = "doc_id", n_tokens: str = "n_tokens", bin_cost: float = 16.0) -> DataFrame:
+def pack(lengths: DataFrame, permitted: tuple[int, ...] = (512, 1024, 2048, 4096), doc_id: str = "doc_id", n_tokens: str = "n_tokens", bin_cost: float = 16.0, model_width: int = 4096) -> DataFrame:
     """(doc_id, piece, first, n, bin_id, offset, bin_tokens, bin_size) for every piece of every row with tokens.
 
     Piece number ``piece`` of a document is its tokens from ``first``, ``n`` of them; it lies at ``offset`` of bin
@@ -127,7 +158,7 @@ def pack(lengths: DataFrame, permitted: tuple[int, ...] = (512, 1024, 2048, 4096
     """
     rows, _ = workspace.cut(pieces(lengths, doc_id, n_tokens, max(permitted)), "pieces")
     given, histogram = numbered(rows)
-    plan = best_plan(histogram, list(permitted), bin_cost)
+    plan = best_plan(histogram, list(permitted), bin_cost, model_width)
     placed, bins = np.array(plan.placed, np.int64).reshape(-1, 5), np.array(plan.bins, np.int64).reshape(-1, 4)
     shared = rows.sparkSession.sparkContext.broadcast((placed, placed[:, 0] << 44 | placed[:, 1], bins))
 
