@@ -302,7 +302,20 @@ def test_chunks_spell_the_text(docs):
 
     text = exact_dedup.normalised(F.col("text"))
     for r in docs.select(text.alias("t"), exact_dedup.content_chunks(text).alias("c")).collect():
-        assert "".join(r["c"]) == r["t"] and all(0 < len(x) <= 4097 for x in r["c"])
+        assert "".join(r["c"]).encode("latin-1") == r["t"].encode() and all(0 < len(x) <= 4101 for x in r["c"])
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz     ", "АБВГДЕЖабвгдежзиклмнопрст   ", "日本語のテキスト中文字漢學校時間", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef", "ACGT", "{}();=<> \n\tifxyn0"])
+def test_chunks_follow_the_content(spark, alphabet):
+    """In any script, code or numbers a character put in front moves the cuts near it alone."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    text = "".join(random.Random(6).choices(alphabet, k=40_000))
+    df = spark.createDataFrame([(text,), ("x" + text,), (text[:20_000] + "yz" + text[20_000:],)], "t string")
+    plain, front, middle = (set(r["c"]) for r in df.select(exact_dedup.content_chunks(F.col("t")).alias("c")).collect())
+    assert len(plain) > 12 and len(plain - front) <= 4 and len(plain - middle) <= 4, (len(plain), len(plain - front), len(plain - middle))
 
 
 def test_empty_tables(no_docs):

@@ -1,7 +1,9 @@
 """Exact duplicates by recipes of content-defined chunks, in DataFrame functions only.
 
-A normalised text is cut where its own characters say so: after a space or a full stop that follows
-certain letters, once a chunk has ``least`` characters, and after ``most`` at the latest. The distinct
+A normalised text is cut where its own bytes say so: after five bytes whose hashes meet a condition that one place in 512 does
+in any script, once a chunk has ``least`` bytes, and after ``most`` at the latest. The condition is one on a window, as of
+a rolling hash: two neighbours whose 3-bit hashes add up to 0 modulo 8, two more, and a byte with hash 0. As there are only 256 bytes, sets of
+them say that in a regular expression over the text's bytes. So an inserted character moves the cuts near it alone. The distinct
 chunks get identifiers: two 64-bit hashes under a seed, verified by comparing the chunks themselves,
 that no two different chunks share one (else the next seed is tried). Texts are equal if their
 ordered lists of identifiers are. So a chunk's characters are shuffled at most once for each task
@@ -18,8 +20,19 @@ from tidemark.llm import workspace
 
 #: The characters taken as white space.
 _SPACE = r"[\x20\x09-\x0D]"
-#: Where a chunk may end: one place in about thirty in running text.
-_CUT = r"[bdfgkmpvwyzßéñ][ .]"
+
+
+def _set(multiplier: int, value: int) -> str:
+    """All bytes whose 3-bit hash has a value, as a set of a regular expression over Latin-1."""
+    return "[" + "".join(rf"\x{b:02x}" for b in range(256) if (b * multiplier >> 5) % 8 == value) + "]"
+
+
+def _window(first: int, second: int) -> str:
+    return "(?:" + "|".join(_set(first, v) + _set(second, -v % 8) for v in range(8)) + ")"
+
+
+#: Where a chunk may end: at one place in 8**3 of bytes without order.
+_CUT = _window(181, 97) + _window(149, 211) + _set(113, 0)
 
 
 def normalised(text: Column) -> Column:
@@ -27,8 +40,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), rf"[\x09-\x0D]{_SPACE}*|\x20{_SPACE}+", " ")
 
 
-def content_chunks(text: Column, least: int = 512, most: int = 4096) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?{_CUT}|.{{1,{most}}}"), F.lit(0))
+def content_chunks(text: Column, least: int = 256, most: int = 4096) -> Column:
+    """The chunks of a text, as strings of its UTF-8 bytes in Latin-1."""
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(rf"(?s).{{{least},{most}}}?{_CUT}|.{{1,{most}}}"), F.lit(0))
 
 
 def _identifier(seed: int, chunk: Column) -> Column:
@@ -38,7 +52,7 @@ def _identifier(seed: int, chunk: Column) -> Column:
 def chunk_identifiers(texts: DataFrame, text: str, seed: int = 0) -> DataFrame:
     """(id, chunk): the distinct chunks, with the identifier of each."""
     chunks = texts.select(F.explode(content_chunks(F.col(text))).alias("chunk"))
-    return chunks.select(_identifier(seed, F.col("chunk")).alias("id"), "chunk").groupBy("id", "chunk").agg(F.count("*").alias("uses"))
+    return chunks.select(_identifier(seed, F.col("chunk")).alias("id"), "chunk").distinct()
 
 
 def verified_seed(texts: DataFrame, text: str, tries: int = 8) -> int:
@@ -62,5 +76,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     seed = verified_seed(rows, "t")
     recipes = rows.select("doc_id", F.transform(content_chunks(F.col("t")), lambda c: _identifier(seed, c)).alias("recipe"), F.sha2("t", 256).alias("text_sha256"))
     recipes, _ = workspace.cut(recipes, "recipes")
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups, _ = workspace.cut(groups, "groups")
+    found = recipes.join(groups, "recipe", "left").select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
