@@ -198,11 +198,45 @@ def test_viterbi(texts):
 
     count = np.array([len(t) for t in texts])
     scores = np.array([w for t in texts for w in t]).reshape(-1, 3)
-    label, at = langid.viterbi(scores, count, 2.0), 0
-    for n in count.tolist():
-        total = lambda x, at=at, n=n: sum(scores[at + i, x[i]] for i in range(n)) - 2.0 * sum(x[i] != x[i - 1] for i in range(1, n))
-        assert n == 0 or total(label[at : at + n]) >= max(map(total, product(range(3), repeat=n))) - 1e-6
-        at += n
+    for segment in (4096, 2, 1):
+        label, at = langid.viterbi(scores, count, 2.0, segment), 0
+        for n in count.tolist():
+            total = lambda x, at=at, n=n: sum(scores[at + i, x[i]] for i in range(n)) - 2.0 * sum(x[i] != x[i - 1] for i in range(1, n))
+            assert n == 0 or total(label[at : at + n]) >= max(map(total, product(range(3), repeat=n))) - 1e-6
+            at += n
+
+
+def test_viterbi_in_segments():
+    """A long text in segments has the total of one run over all of it."""
+    rng = np.random.default_rng(9)
+    scores = np.repeat(rng.normal(0, 3, (60, 4)), 50, axis=0) + rng.normal(0, 2, (3000, 4))
+    total = lambda x: scores[np.arange(3000), x].sum() - 12.0 * np.count_nonzero(np.diff(x))
+    whole = total(langid.viterbi(scores, np.array([3000]), 12.0))
+    for segment in (7, 64, 1000):
+        assert abs(total(langid.viterbi(scores, np.array([3000]), 12.0, segment)) - whole) < 1e-6
+
+
+def test_text_of_millions_of_words():
+    import time
+
+    rng = np.random.default_rng(1)
+    words = {"en": "the cat sat with dog and they ran home together", "de": "der hund und die katze liefen nach hause zusammen"}
+    model_ = langid.Model.fit(["de", "en"], *_counts([words["de"], words["en"]]))
+    parts = [" ".join(rng.choice(words[x].split(), n)) for x, n in (("en", 700_000), ("de", 800_000), ("en", 600_000))]
+    began = time.time()
+    langs, scores, spans = langid.label_texts(model_, [" ".join(parts), parts[1]], 12.0)
+    assert time.time() - began < 60 and langs == ["en", "de"] and scores[1] == 1.0
+    assert [s["lang"] for s in spans[0]] == ["en", "de", "en"] and abs(spans[0][0]["end"] - 700_000) < 5 and spans[0][-1]["end"] == 2_100_000
+
+
+def _counts(texts):
+    counts, letters = np.zeros((len(texts), 2, langid.SIZE)), np.zeros((len(texts), len(langid.SCRIPTS)))
+    for k, t in enumerate(texts):
+        w = langid.words_of([t])
+        counts[k, 0] += np.bincount(w.pair, minlength=langid.SIZE)
+        counts[k, 1] += np.bincount(w.triple, minlength=langid.SIZE)
+        letters[k] += np.bincount(w.script, w.length, minlength=len(langid.SCRIPTS))
+    return counts, letters
 
 
 @settings(max_examples=300, deadline=None)

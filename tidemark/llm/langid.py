@@ -27,6 +27,8 @@ UNDETERMINED = "und"
 SIZE = 1 << 16
 #: Characters whose features are held at once, and characters of the texts that go through Viterbi side by side.
 _SLICE, _TOGETHER = 1 << 18, 1 << 21
+#: Words of a long text that go through Viterbi as one.
+_SEGMENT = 4096
 #: First and last code point, and script.
 SCRIPT_RANGES = [
     (0x0041, 0x024F, "Latin"), (0x0250, 0x02AF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x0400, 0x052F, "Cyrillic"),
@@ -52,6 +54,19 @@ def script_table() -> np.ndarray:
     return _table
 
 
+def parted(text: str) -> list[str]:
+    """A long text in parts of about _SLICE characters that end at a space or line feed, so no word is cut."""
+    out, at = [], 0
+    while len(text) - at > _SLICE:
+        ends = [x for x in (text.rfind(c, at, at + _SLICE) for c in " \n") if x >= 0] or [x for x in (text.find(c, at + _SLICE) for c in " \n") if x >= 0]
+        if not ends:
+            break
+        end = (max if min(ends) < at + _SLICE else min)(ends) + 1
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 @dataclass
 class Words:
     """The words of several texts: per letter its two features, per word where it begins, its length, script and text."""
@@ -110,38 +125,82 @@ class Model:
         return out
 
 
-def viterbi(scores: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of each word; count has the number of words of each text. Texts advance side by side."""
+class _Steps:
+    """Viterbi over segments of words side by side, with the way back of each word in two flat tables."""
+
+    def __init__(self, scores: np.ndarray, at: np.ndarray, n: np.ndarray, penalty: float):
+        self.scores, self.at, self.n, self.penalty = scores, at, n, penalty
+        self.stay, self.came = np.ones(scores.shape, bool), np.zeros(len(scores), np.int16)
+
+    def _live(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rows, the longest first; where they begin; how many have a word at each step."""
+        rows = rows[np.argsort(-self.n[rows], kind="stable")]
+        n = self.n[rows]
+        return rows, self.at[rows], np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")
+
+    def forward(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The totals of each language after the last word of the rows, from the totals before their first."""
+        order, at, live = self._live(rows)
+        place = np.empty(len(self.n), np.int64)
+        place[rows] = np.arange(len(rows))
+        best = start[place[order]]
+        for t, d in enumerate(live.tolist()):
+            now, word = best[:d], at[:d] + t
+            top = now.argmax(axis=1)
+            jump = now[np.arange(d), top][:, None] - self.penalty
+            stay = now >= jump
+            self.stay[word], self.came[word] = stay, top
+            best[:d] = np.where(stay, now, jump) + self.scores[word]
+        out = np.empty_like(best)
+        out[place[order]] = best
+        return out
+
+    def back(self, rows: np.ndarray, ends: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """From the language of each row's last word (of one way or several) to that before its first; label gets those between."""
+        order, at, live = self._live(rows)
+        place = np.empty(len(self.n), np.int64)
+        place[rows] = np.arange(len(rows))
+        now = ends[place[order]]
+        for t in range(len(live) - 1, -1, -1):
+            d = live[t]
+            word, on = at[:d] + t, now[:d]
+            if label is not None:
+                label[word] = on
+                now[:d] = np.where(self.stay[word, on], on, self.came[word])
+            else:
+                now[:d] = np.where(self.stay[word[:, None], on], on, self.came[word][:, None])
+        out = np.empty_like(now)
+        out[place[order]] = now
+        return out
+
+
+def viterbi(scores: np.ndarray, count: np.ndarray, penalty: float, segment: int = _SEGMENT) -> np.ndarray:
+    """The best language of each word; count has the number of words of each text.
+
+    Texts advance side by side, and so do the segments of a long text: each is first run as if it began the text, then again from
+    the totals that the one before it ended with, until these no longer change. As a switch costs the same from anywhere, they
+    soon don't. Memory is a byte for each word and language, and time for a text of millions of words that of one segment.
+    """
     label = np.zeros(len(scores), np.int16)
-    begin = np.cumsum(count) - count
-    order = np.argsort(-count, kind="stable")
-    order = order[count[order] > 0]
-    at, n = begin[order], count[order]
-    if not len(order):
+    if not len(scores):
         return label
-    steps, live = int(n[0]), np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")
-    best = scores[at].astype(np.float64)
-    came, stayed = [], []
-    for t in range(1, steps):
-        d = live[t]
-        best = best[:d]
-        top = best.argmax(axis=1)
-        jump = best[np.arange(d), top][:, None] - penalty
-        stay = best >= jump
-        came.append(top.astype(np.int16))
-        stayed.append(stay)
-        best = np.where(stay, best, jump) + scores[at[:d] + t]
-        on = live[t + 1] if t + 1 < steps else 0
-        if on < d:
-            label[at[on:d] + t] = best[on:].argmax(axis=1)
-    ended = n == 1
-    label[at[ended]] = scores[at[ended]].argmax(axis=1)
-    now = label[at + n - 1].copy()
-    for t in range(steps - 1, 0, -1):
-        d = live[t]
-        rows = np.arange(d)
-        now[:d] = np.where(stayed[t - 1][rows, now[:d]], now[:d], came[t - 1])
-        label[at[:d] + t - 1] = now[:d]
+    k, parts = scores.shape[1], -(-count // segment)
+    index = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    at = np.repeat(np.cumsum(count) - count, parts) + index * segment
+    steps = _Steps(scores, at, np.minimum(segment, np.repeat(count, parts) - index * segment), penalty)
+    start, end, todo, later = np.zeros((len(at), k)), np.zeros((len(at), k)), np.arange(len(at)), np.flatnonzero(index)
+    while len(todo):
+        end[todo] = steps.forward(todo, start[todo])
+        fresh = end[later - 1] - end[later - 1].max(axis=1, keepdims=True)
+        moved = (np.abs(fresh - start[later]) > 1e-9).any(axis=1)
+        todo = later[moved]
+        start[todo] = fresh[moved]
+    last = end.argmax(axis=1)
+    if len(later):
+        ways = steps.back(later, np.tile(np.arange(k), (len(later), 1)))
+        for j in range(len(later) - 1, -1, -1):
+            last[later[j] - 1] = ways[j, last[later[j]]]
+    steps.back(np.arange(len(at)), last, label)
     return label
 
 
@@ -177,9 +236,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for b in batches:
             texts, labels = b["t"].to_pylist(), b["l"].to_pylist()
             learned += np.bincount([langs.index(x) for x in labels], minlength=len(langs)).astype(np.int64)
-            for s, e in blocks.slices([len(t) for t in texts], _SLICE):
-                w = words_of(texts[s:e])
-                of_word = np.repeat([langs.index(x) for x in labels[s:e]], w.count)
+            pieces = [(p, langs.index(x)) for t, x in zip(texts, labels) for p in parted(t)]
+            for s, e in blocks.slices([len(p) for p, _ in pieces], _SLICE):
+                w = words_of([p for p, _ in pieces[s:e]])
+                of_word = np.repeat([x for _, x in pieces[s:e]], w.count)
                 of_letter = np.repeat(of_word, w.length)
                 for shift, f in ((0, w.pair), (SIZE, w.triple)):
                     total += np.bincount(of_letter * width + shift + f, minlength=total.size).reshape(total.shape)
@@ -202,11 +262,13 @@ def label_texts(model: Model, texts: list[str | None], penalty: float) -> tuple[
     langs, shares, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     for s, e in blocks.slices([len(texts[i]) for i in order], _TOGETHER) if model.langs else []:
-        own, parts = [texts[i] for i in order[s:e]], []
+        cut = [parted(texts[i]) for i in order[s:e]]
+        own, parts = [p for x in cut for p in x], []
         for a, b in blocks.slices([len(t) for t in own], _SLICE):
             w = words_of(own[a:b])
             parts.append((model.scores(w), w.count, w.length))
         scores, count, length = (np.concatenate(x) for x in zip(*parts))
+        count = np.add.reduceat(count, np.cumsum([0, *map(len, cut)])[:-1])
         if not len(scores):
             continue
         label = viterbi(scores, count, penalty)
