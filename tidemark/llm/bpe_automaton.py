@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -131,39 +132,42 @@ class Table:
         self.rest()
 
     def rest(self) -> None:
-        self.longest: dict[bytes, int] = {}
-        for b in self.token:
-            self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
-        self.rows: dict[int, list[int]] = {}
-        self.places = self.number.tolist()
+        #: Every end of a token, with the token that spells it, -1 if none does.
+        self.ends: dict[bytes, int] = dict.fromkeys((b[i:] for b in self.token for i in range(1, len(b))), -1) | self.token
+        self.rows = presplit.Rows(self.row_of)
+        self.after = (self.number + 1).tolist()
         self.cache = presplit.Cache(self.path, self.most)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("longest", "rows", "places", "cache")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ends", "rows", "after", "cache")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.rest()
 
+    def row_of(self, state: int) -> list[int]:
+        return self.edges[self.row[state] : self.row[state + 1]].tolist()
+
     def step(self, state: int, t: int) -> bool:
         """Whether the table has an arc t from a state, which is named by a token that leads to it."""
-        row = self.rows.get(state)
-        if row is None:
-            row = self.rows[state] = self.edges[self.row[state] : self.row[state + 1]].tolist()
-        return not bisect_left(row, self.places[t] + 1) & 1
+        return not bisect_left(self.rows[state], self.after[t]) & 1
 
     def path(self, word: bytes) -> bytes:
         """The tokens' ids, as little-endian 32-bit integers, of the one accepted path that spells the word."""
-        token, step = self.token, self.step
-        whole = token.get(word)
+        whole = self.token.get(word)
         if whole is not None:  # every arc starts at the first state
             return whole.to_bytes(4, "little")
-        states = [-1] * (len(word) + 1)
+        ends, rows, after, states = self.ends.get, self.rows, self.after, [-1] * (len(word) + 1)
         for end in range(1, len(word) + 1):
-            reach = self.longest.get(word[max(0, end - 2) : end], 1)
-            for start in range(max(0, end - reach), end):
-                t = token.get(word[start:end])
-                if t is not None and (not start or step(states[start], t)):
+            found = []
+            for start in range(end - 1, -1, -1):
+                t = ends(word[start:end])
+                if t is None:
+                    break
+                if t >= 0:
+                    found.append((start, t))
+            for start, t in reversed(found):
+                if not start or not bisect_left(rows[states[start]], after[t]) & 1:  # as step()
                     states[end] = t
                     break
             else:
@@ -172,7 +176,7 @@ class Table:
         while at:
             ids.append(states[at])
             at -= len(self.labels[states[at]])
-        return np.array(ids[::-1], "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *reversed(ids))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids.tolist()))

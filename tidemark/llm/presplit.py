@@ -72,6 +72,18 @@ def splitter(specials: dict[str, int]) -> Callable[[str], list[str]]:
     return found.split
 
 
+class Rows(dict):
+    """A dict that computes what it lacks; for keys of which there is a bounded number."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Cache(dict):
     """A dict that computes what it lacks and starts afresh when it is full."""
 
