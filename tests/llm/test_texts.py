@@ -312,9 +312,10 @@ def brute_windows(given_rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("target", [1 << 23, 50_000])
-def test_window_dedup(docs, no_docs, target):
-    got = window_dedup.remove_repeats(docs, target=target)
+@pytest.mark.parametrize("how", [{}, {"target": 50_000}, {"bits": 3, "target": 50_000}, {"bits": 5}])
+def test_window_dedup(docs, no_docs, how):
+    """Also where nearly all window hashes collide."""
+    got = window_dedup.remove_repeats(docs, **how)
     assert Counter(map(tuple, got.drop("intervals").collect())) == brute_windows(rows(docs), 50)
     assert all(sum(i["end"] - i["first"] for i in r["intervals"]) == r["n_removed"] for r in got.collect())
     assert window_dedup.remove_repeats(no_docs).count() == 0
@@ -366,6 +367,27 @@ def test_null_ids(spark):
         assert sorted((r["doc_id"] is None for r in got.collect())) == [False, True, True]
 
 
+def test_chunks_of_a_hot_id(spark):
+    """Rows of one id, or without one, spread over several chunks, still in order."""
+    from tidemark.llm import blocks
+
+    texts = [(5 if i % 3 else None if i % 2 else i, f"{i} " * 50) for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "xxhash64(text) AS hash")
+    cut, n = blocks.chunked(df, "doc_id", "text", 4000, split="hash")
+    got = sorted((r["chunk"], -(1 << 63) if r["doc_id"] is None else r["doc_id"], r["hash"]) for r in cut.collect())
+    assert [g[1:] for g in got] == sorted(g[1:] for g in got) and len({g[0] for g in got if g[1] == 5}) >= 4 and max(Counter(g[0] for g in got).values()) < 200 and got[-1][0] < n
+
+
+def test_more_chunks_than_ranges(spark, monkeypatch):
+    from tidemark.llm import blocks
+
+    monkeypatch.setattr(blocks, "_RANGES", 4)
+    df = spark.range(3000).selectExpr("id * 7 AS doc_id", "repeat('x', 100) AS text")
+    cut, n = blocks.chunked(df, "doc_id", "text", 10_000)
+    got = [r["chunk"] for r in cut.orderBy("doc_id").collect()]
+    assert got == sorted(got) and 16 <= len(set(got)) <= n and max(Counter(got).values()) < 250
+
+
 def test_large_ids_beside_null(spark):
     """Ids above 2**53 come back as they are, whoever their neighbours are."""
     given_ids = {9007199254740993: "a b c d", 9007199254740995: "e f", None: "g"}

@@ -1,8 +1,9 @@
 """Chunks of whole documents, and an exchange of compact sorted keys between them.
 
-A chunk is a range of document ids with about ``target`` bytes of text, so it fits a task. Chunks and buckets
+A chunk is a range of document ids, or a part of them by hash, with about ``target`` bytes of text, so it fits a task. Chunks and buckets
 are equally many, so the number of blobs is the square of that; to keep a blob at a kilobyte or more, chunks grow
-as the square root of the input (4 MiB up to 16 GB of text, 316 MB at 100 TB). Operators that must know which of their many hashes occur elsewhere don't shuffle a row
+as the square root of the input, from 4 MiB up to 16 GB of text to 32 MiB from 1 TB on, and no further: what a task needs has
+a bound, and beyond that blobs get shorter, at worst one for each key, as in any shuffle. Operators that must know which of their many hashes occur elsewhere don't shuffle a row
 for each: a chunk sorts its distinct keys and sends one delta-coded blob to each bucket of the key
 space; a bucket compares the blobs and answers with one small flag per key, in the order it came. A key
 that a third of all documents hold is sent once by each chunk.
@@ -21,27 +22,56 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import workspace
 
-TARGET = 4 << 20
+TARGET, MOST = 4 << 20, 32 << 20
+#: Ranges of ids that are found by percentiles; more chunks are equal parts of these.
+_RANGES = 20_000
 
 
-def chunked(df: DataFrame, by: str, text: str, target: int = TARGET, name: str = "chunk") -> tuple[DataFrame, int]:
+def _parts(df: DataFrame, text: str, target: int) -> int:
+    workspace.small_batches(df.sparkSession)
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, math.ceil(total / max(target, min(math.isqrt(total << 10), MOST))))
+
+
+def scattered(df: DataFrame, by: list[str], text: str, target: int = TARGET, name: str = "chunk") -> tuple[DataFrame, int]:
+    """df with an int column ``name``: chunks by a hash of the columns ``by``; and how many there can be. Rows that are equal in all of them share a chunk."""
+    parts = _parts(df, text, target)
+    return df.withColumn(name, F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")), parts
+
+
+def chunked(df: DataFrame, by: str, text: str, target: int = TARGET, name: str = "chunk", split: str | None = None) -> tuple[DataFrame, int]:
     """df with an int column ``name``: ranges of ``by`` in ascending order; and how many there can be.
 
-    Rows with equal ``by`` share a chunk; null comes first.
+    Null comes first. Rows with equal ``by`` share a chunk; with ``split``, a column of 64-bit hashes, those of an id that fills
+    several chunks are dealt out to them in ascending order of it.
     """
-    workspace.small_batches(df.sparkSession)
     rank = F.coalesce(F.col(by).cast("long"), F.lit(-(1 << 63)))
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts, bounds = max(1, math.ceil(total / max(target, math.isqrt(total << 10)))), np.array([], np.int64)
+    parts, bounds = _parts(df, text, target), np.array([], np.int64)
+    fine = -(-parts // _RANGES)
     if parts > 1:
-        found = df.agg(F.percentile_approx(rank, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0]
-        bounds = np.unique(np.array(found or [], np.int64))
+        ranges = -(-parts // fine)
+        found = df.agg(F.percentile_approx(rank, [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("at"), F.min(rank).alias("least"), F.max(rank).alias("most")).first()
+        bounds = np.array(found["at"] or [], np.int64)
+        if not split:
+            bounds = np.unique(bounds)
+        least, most = found["least"], found["most"]
+    if not len(bounds):
+        return df.withColumn(name, F.lit(0)), 1
+    edges = np.concatenate(([least - 1 if least > -(1 << 63) else least], bounds, [most])).astype(np.float64)
 
     @F.pandas_udf("int")
-    def place(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, x.to_numpy(), side="left").astype(np.int32))
-
-    return df.withColumn(name, F.lit(0) if not len(bounds) else place(rank)), len(bounds) + 1
+    def place(x: pd.Series, h: pd.Series) -> pd.Series:
+        x = x.to_numpy()
+        at = np.searchsorted(bounds, x, side="left")
+        within = (x.astype(np.float64) - edges[at]) / np.maximum(edges[at + 1] - edges[at], 1.0)
+        point = at * fine + np.clip(np.ceil(within * fine) - 1, 0, fine - 1)
+        if split:
+            spare = np.searchsorted(bounds, x, side="right") - at - 1
+            share = np.minimum((h.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64, 1 - 1e-9)
+            point = np.where(spare > 0, (at + 1) * fine + np.floor(share * np.maximum(spare, 1) * fine), point)
+        return pd.Series(point.astype(np.int32))
+
+    return df.withColumn(name, place(rank, F.col(split) if split else F.lit(0).cast("long"))), (len(bounds) + 1) * fine
 
 
 def mix(x: np.ndarray) -> np.ndarray:

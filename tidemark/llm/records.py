@@ -18,7 +18,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -60,12 +60,13 @@ def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def _write(uri: str, parts: list[bytes]) -> None:
+def _write(uri: str, parts: Iterable[bytes]) -> None:
     fs, path = _store(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as f:
-        f.write(b"".join(parts))
+        for part in parts:
+            f.write(part)
     fs.move(own, path)
 
 
@@ -142,29 +143,33 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 0, target: int = blocks.TARGET) -> list[dict]:
     """Encode every row and write the shards to a folder; returns for each shard its path, documents and ids, in order.
 
-    Rows go in ascending doc_id (null first, equal ids by text). Null counts as empty, so it has
-    the end id alone. Repeated rows are written each. An empty table gives no shards. The list has one entry for
-    each chunk (see blocks), a few hundred thousand at 100 TB.
+    Rows go in ascending doc_id (null first, equal ids by a hash of their text, so many rows of one id, or without one, spread
+    over chunks). Null counts as empty, so it has the end id alone. Repeated rows are written each. An empty table gives no
+    shards. The list has one entry for each chunk (see blocks), about three million at 100 TB.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, _ = blocks.chunked(rows, "doc_id", "text", target)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    rows, _ = blocks.chunked(rows, "doc_id", "text", target, split="hash")
 
     def write(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        t = t.sort_by([("doc_id", "ascending"), ("hash", "ascending"), ("text", "ascending")])
         own, chunk = encoder(tokenizer_path), t["chunk"][0].as_py()
         first = pa.compute.is_null(t["doc_id"]).to_numpy(zero_copy_only=False)
         t = t.take(np.argsort(~first, kind="stable"))
         end = b"" if end_id is None else end_id.to_bytes(own.width, "little")
-        parts, offsets, counts, at = [], [], [], 0
-        for x in t["text"].to_pylist():
-            payload = own.encode(x or "") + end
-            parts += frame(payload)
-            offsets.append(at)
-            counts.append(len(payload) // own.width)
-            at += 16 + len(payload)
+        offsets, counts, at = [], [], 0
+
+        def framed() -> Iterator[bytes]:
+            nonlocal at
+            for x in t["text"]:
+                payload = own.encode(x.as_py() or "") + end
+                offsets.append(at)
+                counts.append(len(payload) // own.width)
+                at += 16 + len(payload)
+                yield b"".join(frame(payload))
+
         uri = f"{folder}/shard-{chunk:08d}.rec"
         ids = pa.compute.fill_null(t["doc_id"], -(1 << 63)).to_numpy()
-        _write(uri, parts)
+        _write(uri, framed())
         _write(f"{uri}.idx", [struct.pack(_HEAD, MAGIC, own.width, len(offsets)), np.array([ids, offsets, counts], "<i8").tobytes()])
         return pa.table({"shard": pa.array([chunk], pa.int32()), "path": [uri], "docs": pa.array([len(offsets)], pa.int64()), "ids": pa.array([sum(counts)], pa.int64())})
 
