@@ -268,8 +268,9 @@ def brute_suffix(given_rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"target": 50_000}, {"dense": 0}, {"dense": 1, "target": 50_000}, {"sort_bytes": 1}])
+@pytest.mark.parametrize("how", [{}, {"target": 50_000}, {"dense": 0}, {"dense": 1, "target": 50_000}, {"sort_bytes": 1}, {"bits": 4, "target": 50_000}, {"bits": 3, "dense": 0}])
 def test_suffix_dedup(docs, how):
+    """Also where nearly all hashes collide."""
     assert Counter(map(tuple, suffix_dedup.remove_repeats(docs, **how).collect())) == brute_suffix(rows(docs), 200)
 
 

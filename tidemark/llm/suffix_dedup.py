@@ -5,7 +5,10 @@ meet by content. The hashes of the half-width strings inside a window have a lea
 have equal anchors at equal places. The neighbouring windows of one anchor make up a fragment, so a
 repeated window lies in two fragments with the same anchor hash.
 
-1. Chunks of documents exchange the distinct (anchor, fragment hash) pairs that they hold.
+Hashes of 64 bits only bring together what may be equal. Whether fragments or windows are equal is decided by 128-bit cryptographic
+digests of their bytes, or by the sort, which compares the bytes; nothing goes because 64-bit hashes agree.
+
+1. Chunks of documents (by a hash of id and text) exchange the distinct (anchor, fragment digest) pairs that they hold.
 2. A fragment that occurs twice as a whole needs no sorting: its suffixes and those of its copy are pairs of neighbours
    anyway, so all its windows repeat. One whose anchor occurs nowhere else has none. All others, with the
    fragments that share their anchor (one copy of each), are sorted by linear grouping
@@ -13,13 +16,13 @@ repeated window lies in two fragments with the same anchor hash.
 3. The spans of each chunk come back to its documents and are cut out.
 
 An anchor with more than ``dense`` distinct fragments (the ends of a very common passage) would be one long
-sort. The windows of its fragments are exchanged by hash instead, once from each chunk.
+sort. The digests of its fragments' windows are exchanged instead, once from each chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,38 +35,51 @@ from tidemark.llm.suffix_sort import repeated_windows
 
 _SLICE, _PIECE, _PLACE = 1 << 17, 1 << 23, np.uint64((1 << 24) - 1)
 _SYMBOL = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_ENTRY = np.dtype([("frag", "<u8"), ("n", "u1")])
+_ENTRY = np.dtype([("frag", "<u8"), ("rest", "<u8"), ("n", "u1")])
+_WINDOW = np.dtype([("rest", "<u8"), ("n", "u1")])
 WHOLE, SORT, DENSE = 1, 2, 4
 _SPANS, _SORTED, _WINDOWS, _FLAGS = 0, 1, 2, 3
 
 
 @dataclass
 class Fragments:
-    """Of each fragment: its row, the first and last start of its windows, anchor hash, fragment hash."""
+    """Of each fragment: its row, the first and last start of its windows, anchor hash, and the two halves of its digest."""
 
     row: np.ndarray
     first: np.ndarray
     last: np.ndarray
     key: np.ndarray
     frag: np.ndarray
+    rest: np.ndarray
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct (key, frag) in order, how often each occurs (2 for more), which each fragment is, and one fragment of each."""
-        order = np.lexsort((self.frag, self.key))
-        k, f = self.key[order], self.frag[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])))[: len(k)]
+        """The distinct (key, digest) in order, how often each occurs (2 for more), which each fragment is, and one fragment of each."""
+        order = grouped(self.key, self.frag, self.rest)
+        k, f, r = self.key[order], self.frag[order], self.rest[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1]) | (r[1:] != r[:-1])))[: len(k)]
         at = np.flatnonzero(new)
         of = np.empty(len(k), np.int64)
         of[order] = np.cumsum(new) - 1
         extra = np.empty(len(at), _ENTRY)
-        extra["frag"], extra["n"] = f[at], np.minimum(np.diff(np.append(at, len(k))), 2)
+        extra["frag"], extra["rest"], extra["n"] = f[at], r[at], np.minimum(np.diff(np.append(at, len(k))), 2)
         return k[at], extra, of, order[at]
 
 
-def window_hash(data: bytes, width: int) -> np.ndarray:
-    c = blocks.prefix(_SYMBOL[np.frombuffer(data, np.uint8)])
-    s = np.arange(len(data) - width + 1)
-    return blocks.mix(blocks.ranges(c, s, s + width))
+def grouped(key: np.ndarray, frag: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """An order by key in which equal triples are neighbours."""
+    order = np.lexsort((frag, key))
+    k, f, r = key[order], frag[order], rest[order]
+    same = (k[1:] == k[:-1]) & (f[1:] == f[:-1])
+    return np.lexsort((rest, frag, key)) if (same & (r[1:] != r[:-1])).any() else order
+
+
+def digests(pieces: Iterable[bytes]) -> np.ndarray:
+    """The two halves of the 128-bit digest of each piece."""
+    return np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in pieces]), "<u8").reshape(-1, 2)
+
+
+def narrow(x: np.ndarray, bits: int) -> np.ndarray:
+    return x if bits == 64 else x >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
 def _pieces(texts: list[bytes], width: int) -> Iterator[tuple[int, int, bytes]]:
@@ -72,15 +88,16 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[tuple[int, int, bytes]]:
             yield row, at, t[at : at + _PIECE + width - 1]
 
 
-def fragments(texts: list[bytes], width: int) -> Fragments:
+def fragments(texts: list[bytes], width: int, bits: int = 64) -> Fragments:
     half = width // 2
     span = width - half + 1
-    pieces, out = list(_pieces(texts, width)), [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2]
+    pieces, out = list(_pieces(texts, width)), [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3]
     for s, e in blocks.slices([len(p) for _, _, p in pieces], _SLICE):
         part = pieces[s:e]
         size = np.array([len(p) for _, _, p in part])
         stop, owner = np.cumsum(size), np.repeat(np.arange(e - s), size)
-        c = blocks.prefix(_SYMBOL[np.frombuffer(b"".join(p for _, _, p in part), np.uint8)])
+        data = b"".join(p for _, _, p in part)
+        c = blocks.prefix(_SYMBOL[np.frombuffer(data, np.uint8)])
         n = len(c) - 1
         at = np.arange(n - half + 1)
         hashes = blocks.mix(blocks.ranges(c, at, at + half))
@@ -94,12 +111,11 @@ def fragments(texts: list[bytes], width: int) -> Fragments:
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
         begin = np.flatnonzero(new)
         first, last, anchor = start[begin], start[np.append(begin[1:], len(start)) - 1], anchor[begin]
-        shape = ((last - first) << 16 | (anchor - first)).astype(np.uint64)
-        frag = blocks.mix(blocks.ranges(c, first, last + width) + blocks.mix(shape + np.uint64(1)))
+        digest = digests(data[x:y] for x, y in zip(first.tolist(), (last + width).tolist()))
         row = np.array([r for r, _, _ in part])[owner[first]]
         shift = np.array([o for _, o, _ in part])[owner[first]] - (stop - size)[owner[first]]
         key = blocks.mix(hashes[anchor] + np.uint64(1))  # anchors have small hashes; spread them over all buckets
-        out.append([row, first + shift, last + shift, key, frag])
+        out.append([row, first + shift, last + shift, narrow(key, bits), narrow(digest[:, 0], bits), digest[:, 1]])
     return Fragments(*(np.concatenate(x) for x in zip(*out)))
 
 
@@ -112,10 +128,10 @@ def _ordered(t: pa.Table) -> tuple[pa.Table, list[bytes]]:
 def _judge(dense: int):
     def judge(keys: np.ndarray, _: np.ndarray, extra: bytes) -> np.ndarray:
         e = np.frombuffer(extra, _ENTRY)
-        order = np.lexsort((e["frag"], keys))
-        k, f, n = keys[order], e["frag"][order], e["n"][order].astype(np.int64)
+        order = grouped(keys, e["frag"], e["rest"])
+        k, f, r, n = keys[order], e["frag"][order], e["rest"][order], e["n"][order].astype(np.int64)
         new_key = np.concatenate(([True], k[1:] != k[:-1]))
-        new = new_key | np.concatenate(([True], f[1:] != f[:-1]))
+        new = new_key | np.concatenate(([True], (f[1:] != f[:-1]) | (r[1:] != r[:-1])))
         of, of_key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
         times = np.bincount(of, n)
         kinds, single = np.bincount(of_key, new), np.bincount(of_key, new & (times[of] == 1))
@@ -128,10 +144,13 @@ def _judge(dense: int):
 
 
 def _repeats(keys: np.ndarray, _: np.ndarray, extra: bytes) -> np.ndarray:
-    """Whether a key occurs twice over all chunks, or was sent as occurring twice."""
-    n = np.frombuffer(extra, np.uint8).astype(np.int64)
-    _, of = np.unique(keys, return_inverse=True)
-    return np.bincount(of, n)[of] > 1
+    """Whether a digest, of which keys are one half, occurs twice over all chunks, or was sent as occurring twice."""
+    e = np.frombuffer(extra, _WINDOW)
+    order = np.lexsort((e["rest"], keys))
+    k, r = keys[order], e["rest"][order]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))[: len(k)]) - 1
+    return np.bincount(of, e["n"].astype(np.int64))[of] > 1
 
 
 def _blob(*columns: np.ndarray) -> bytes:
@@ -142,16 +161,16 @@ def _columns(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<i8").reshape(n, -1)
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary()), ("key", pa.int64()), ("frag", pa.int64()), ("row", pa.int64()), ("first", pa.int64())])
-_FOUND_DDL = "kind int, chunk int, bucket int, keys binary, extra binary, key long, frag long, row long, first long"
+_FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary()), ("key", pa.int64()), ("frag", pa.binary()), ("row", pa.int64()), ("first", pa.int64())])
+_FOUND_DDL = "kind int, chunk int, bucket int, keys binary, extra binary, key long, frag binary, row long, first long"
 
 
-def _find(width: int, n: int):
+def _find(width: int, n: int, bits: int):
     """Of a chunk and the flags of its entries: spans known to repeat, fragments to sort, windows of dense anchors."""
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         left, texts = _ordered(left)
-        chunk, f = left["chunk"][0].as_py(), fragments(texts, width)
+        chunk, f = left["chunk"][0].as_py(), fragments(texts, width, bits)
         keys, extra, of, one = f.entries()
         told = blocks.answered(right)
         mine = told[of]
@@ -160,21 +179,26 @@ def _find(width: int, n: int):
         if len(whole):
             row, a, b = f.row[whole], f.first[whole], f.last[whole]
             new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (a[1:] != b[:-1] + 1))))
-            rows.append((_SPANS, chunk, 0, _blob(row[new], a[new], b[np.append(new[1:], len(row)) - 1] + width), None, 0, 0, 0, 0))
+            rows.append((_SPANS, chunk, 0, _blob(row[new], a[new], b[np.append(new[1:], len(row)) - 1] + width), None, 0, b"", 0, 0))
         for x in np.flatnonzero(told & SORT).tolist():
             i = one[x]
             at = int(f.first[i])
             data = texts[f.row[i]][at : int(f.last[i]) + width]
-            rows.append((_SORTED, -1 if told[x] & WHOLE else chunk, int(keys[x] % np.uint64(8 * n)), data, None, int(keys[x].astype(np.int64)), int(extra["frag"][x].astype(np.int64)), int(f.row[i]), at))
+            rows.append((_SORTED, -1 if told[x] & WHOLE else chunk, int(keys[x] % np.uint64(8 * n)), data, None, int(keys[x].astype(np.int64)), extra[x].tobytes()[:16], int(f.row[i]), at))
         dense = np.flatnonzero(mine & DENSE)
         if len(dense):
-            hashes = [window_hash(texts[f.row[i]][int(f.first[i]) : int(f.last[i]) + width], width) for i in dense.tolist()]
-            size = np.array([len(h) for h in hashes])
+            size = (f.last - f.first + 1)[dense]
             row, start = np.repeat(f.row[dense], size), np.concatenate([np.arange(a, a + m) for a, m in zip(f.first[dense], size)])
-            own, where, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-            rows.append((_WINDOWS, chunk, -1, _blob(where, row, start), None, 0, 0, 0, 0))
-            sent = blocks.send(chunk, n, own, np.minimum(times, 2).astype(np.uint8))
-            rows += [(_FLAGS, chunk, r["bucket"], r["keys"], r["extra"], 0, 0, 0, 0) for r in sent.to_pylist()]
+            found = digests(texts[r][s : s + width] for r, s in zip(row.tolist(), start.tolist()))
+            order = np.lexsort((found[:, 1], found[:, 0]))
+            at = np.flatnonzero(np.concatenate(([True], (found[order[1:]] != found[order[:-1]]).any(axis=1))))
+            where = np.empty(len(order), np.int64)
+            where[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+            own, more = found[order[at]], np.empty(len(at), _WINDOW)
+            more["rest"], more["n"] = own[:, 1], np.minimum(np.diff(np.append(at, len(order))), 2)
+            rows.append((_WINDOWS, chunk, -1, _blob(where, row, start), None, 0, b"", 0, 0))
+            sent = blocks.send(chunk, n, np.ascontiguousarray(own[:, 0]), more)
+            rows += [(_FLAGS, chunk, r["bucket"], r["keys"], r["extra"], 0, b"", 0, 0) for r in sent.to_pylist()]
         return pa.table([list(x) for x in zip(*rows)] if rows else [[] for _ in _FOUND], schema=_FOUND)
 
     return find
@@ -186,8 +210,8 @@ def _sorter(width: int, most: int):
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("frag", "ascending"), ("chunk", "descending")])
         chunk, row, first = (t[c].to_numpy() for c in ("chunk", "row", "first"))
-        key, frag, data = t["key"].to_numpy(), t["frag"].to_numpy(), t["keys"].to_pylist()
-        keep = np.concatenate(([True], (key[1:] != key[:-1]) | (frag[1:] != frag[:-1])))
+        key, frag, data = t["key"].to_numpy(), t["frag"].to_pylist(), t["keys"].to_pylist()
+        keep = np.concatenate(([True], (key[1:] != key[:-1]) | np.array([x != y for x, y in zip(frag[1:], frag)], bool)))
         at = np.flatnonzero(keep)
         groups = np.append(np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1]))), len(at))
         sizes = [sum(len(data[i]) for i in at[s:e]) for s, e in zip(groups[:-1], groups[1:])]
@@ -225,14 +249,14 @@ def _spans(marks: pa.Table) -> np.ndarray:
     return np.stack([x[new, 0], x[new, 1], reach[np.append(new[1:], len(x)) - 1] - base[new]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, target: int = blocks.TARGET, dense: int = 512, sort_bytes: int = 1 << 16, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, target: int = blocks.TARGET, dense: int = 512, sort_bytes: int = 1 << 16, texts: bool = False, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; or, with texts, docs itself with each text cut.
 
     A byte goes if a string of ``width`` bytes that covers it also starts anywhere else, in this document or
     another, as the input stands; strings never cross documents. Null counts as empty; texts shorter than width stay whole.
     Repeated rows are copies of each other, so all their bytes go if they are long enough. With ``texts`` a
     character that lost any of its bytes goes as a whole, null stays null, and all other columns are
-    passed on as they are, whatever their names. An empty table gives no rows.
+    passed on as they are, whatever their names. An empty table gives no rows. ``bits`` narrows the hashes, which changes no result.
     """
     spark = docs.sparkSession
     if texts:
@@ -240,15 +264,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = base.select("whole", F.coalesce(F.col("row_id0").cast("long"), F.lit(-(1 << 63))).alias("row_id"), F.lit(True).alias("has_id"), F.encode(F.col("t0"), "UTF-8").alias("row_text"))
     else:
         rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("row_id"), F.col(doc_id).isNotNull().alias("has_id"), F.encode(F.col(text), "UTF-8").alias("row_text"))
-    rows, n = blocks.chunked(rows, "row_id", "row_text", target)
+    rows, n = blocks.scattered(rows, ["row_id", "row_text"], "row_text", target)
     bare = rows.select("row_id", "row_text", "chunk")
 
     def tell(t: pa.Table) -> pa.Table:
-        keys, extra, _, _ = fragments([x or b"" for x in t["row_text"].to_pylist()], width).entries()
+        keys, extra, _, _ = fragments([x or b"" for x in t["row_text"].to_pylist()], width, bits).entries()
         return blocks.send(t["chunk"][0].as_py(), n, keys, extra)
 
     told = blocks.exchange(bare.groupBy("chunk").applyInArrow(tell, blocks.SENT_DDL), _judge(dense))
-    found, _ = workspace.cut(bare.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_find(width, n), _FOUND_DDL), "fragments")
+    found, _ = workspace.cut(bare.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_find(width, n, bits), _FOUND_DDL), "fragments")
     direct = found.filter(F.col("kind").isin(_SPANS, _WINDOWS)).select("chunk", "kind", "bucket", F.col("keys").alias("blob"))
     by_sort = found.filter(F.col("kind") == _SORTED).select("bucket", "chunk", "key", "frag", "row", "first", "keys").groupBy("bucket").applyInArrow(_sorter(width, sort_bytes), "chunk int, blob binary")
     by_sort = by_sort.select("chunk", F.lit(_SORTED).alias("kind"), F.lit(0).alias("bucket"), "blob")
