@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9][0-9() .-]{7,}[0-9]"
-URL = r"https?://[^ \t\r\n<>]+"
 DOLLARS = r"\$[0-9,]+\.[0-9]{2}"
 #: What a mail body is cut at.
 QUOTES = r"(?m)^(>|-{3,} ?Original Message|_{10,}|Sent from my |On .{1,200} wrote:|From: )"
@@ -17,9 +17,24 @@ NO_REPLY = r"^(no-?reply|do-?not-?reply|notifications?|mailer-daemon|alerts?|upd
 SECRETS = [r"(?i)((?:password|passwd|token|secret|api_?key)\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^ \t\r\n]+)", r"(?i)(bearer )([A-Za-z0-9._-]+)", r"(://[^:/ @]+:)([^@/ ]+)"]
 
 
+def title_case(x: Column) -> Column:
+    """Each letter that follows no letter in upper case, all others in lower case (initcap goes by white space alone)."""
+    parts = F.regexp_extract_all(x, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))), "")
+
+
+def _wide_digits() -> dict[str, str]:
+    """Characters that compatibility decomposition turns into one digit, such as full-width and raised ones."""
+    found = ((chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(128, 0x11000))
+    return {c: d for c, d in found if d != c and len(d) == 1 and d.isdigit()}
+
+
+_WIDE = _wide_digits()
+
+
 def normal_phone(x: Column) -> Column:
-    """+ and digits, ten digits get a leading 1; null without digits."""
-    digits = F.regexp_replace(x, "[^0-9]", "")
+    """+ and digits of any script, full-width and raised ones as plain ones, ten digits get a leading 1; null without digits."""
+    digits = F.regexp_replace(F.translate(x, "".join(_WIDE), "".join(_WIDE.values())), r"[^\p{Nd}]", "")
     return F.when(digits == "", None).when(F.length(digits) == 10, F.concat(F.lit("+1"), digits)).otherwise(F.concat(F.lit("+"), digits))
 
 
@@ -52,9 +67,17 @@ def clean_name(x: Column) -> Column:
     return F.when(s.rlike(r"^[^,]+, [^,]+$"), F.concat_ws(" ", F.trim(F.substring_index(s, ",", -1)), F.trim(F.substring_index(s, ",", 1)))).otherwise(s)
 
 
-def name_tokens(x: Column) -> Column:
-    """Distinct words of at least two characters, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(x), r"[\s,.\-_/]+"), lambda t: F.length(t) > 1)))
+#: Words that say nothing about who bears a name.
+NAME_STOPS = ["the", "and", "of", "for", "in", "at", "to", "from", "via", "a", "an", "inc", "llc", "ltd", "corp", "co", "group", "team"]
+
+
+def name_tokens(x: Column, nicknames: dict[str, str] | None = None) -> Column:
+    """Distinct words of at least two characters that are no stop words, nicknames as the names they stand for, sorted."""
+    words = F.filter(F.split(F.lower(x), r"[\s,.\-_/]+"), lambda t: (F.length(t) > 1) & ~t.isin(NAME_STOPS))
+    if nicknames:
+        full = F.create_map(*(F.lit(v) for kv in nicknames.items() for v in kv))
+        words = F.transform(words, lambda t: F.coalesce(full[t], t))
+    return F.array_sort(F.array_distinct(words))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -79,9 +102,19 @@ def mask_secrets(x: Column) -> Column:
     return x
 
 
+#: What is masked in text that leaves, in this order, and the hosts whose URLs stay.
+MASKED = [
+    (r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[email]"),
+    (r"(?U)\b\+?1?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[phone]"),
+    (r"(?U)https?://(?!(?:acme|loom|linkedin|github))\S+", "[url]"),
+]
+
+
 def mask_contacts(x: Column) -> Column:
-    """E-mail addresses, then URLs, then phone numbers become marks."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, EMAIL, "[EMAIL]"), URL, "[URL]"), PHONE, "[PHONE]")
+    """E-mail addresses, then phone numbers, then URLs become marks."""
+    for pattern, mark in MASKED:
+        x = F.regexp_replace(x, pattern, mark)
+    return x
 
 
 def to_unix(x: Column) -> Column:

@@ -51,11 +51,11 @@ def bursts(events: DataFrame, width: int = 300, least: int = 3, sources: int = 2
 
 
 #: Words that say nothing about a commitment.
-STOP = frozenset("a an and are as at be by for from has he in is it its of on or that the to was were will with".split())
+STOP = frozenset("a an the at by for in of on to and or is are was were with from as this that vs via".split())
 
 
 def content_words(s: str) -> set[str]:
-    words = set(re.sub(r"[^\w\s]", " ", s.lower()).split())
+    words = set(re.sub(r"[^\w\s]", "", s.lower()).split())
     return words - STOP or words
 
 

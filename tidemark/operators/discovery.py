@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import confidence as conf
+from tidemark.functions import text as tx
 from tidemark.operators import joins
 
 #: Reliability letter, credibility number and half-life in days of each kind of source.
@@ -46,12 +47,13 @@ def graded(sourced_fragments: DataFrame, subject: str, fragment: str) -> DataFra
     return sourced_fragments.groupBy(subject).agg(F.min("reliability").alias("reliability"), F.min("credibility").alias("credibility")).join(sure, subject)
 
 
-def firm(email: Column) -> Column:
-    """A firm's likely name from an address; null for generic domains and strings without @."""
+def firm(email: Column, known: dict[str, str] | None = None) -> Column:
+    """A firm's likely name from an address, or as ``known`` has its domain; null for generic domains and strings without @."""
     domain = F.lower(F.get(F.split(email, "@"), F.lit(1)))
     parts = F.split(domain, r"\.")
     label = F.when(F.size(parts) <= 2, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.size(parts) - 2))
-    return F.when(email.contains("@") & ~domain.isin(GENERIC_DOMAINS), F.initcap(F.translate(label, "-_", "  ")))
+    given = _lookup(known, domain) if known else F.lit(None).cast("string")
+    return F.when(email.contains("@") & ~domain.isin(GENERIC_DOMAINS), F.coalesce(given, tx.title_case(F.translate(label, "-_", "  "))))
 
 
 def signal_score(signals: DataFrame, subject: str, kind: str) -> DataFrame:

@@ -35,3 +35,18 @@ def partners(edges: DataFrame) -> DataFrame:
     """(person_id, partner_id, events, roles): who shares events with whom. Events have few people, so the self-join stays in proportion."""
     other = edges.select("event_id", F.col("person_id").alias("partner_id"), F.col("role").alias("partner_role"))
     return edges.join(other, "event_id").filter("person_id <> partner_id").groupBy("person_id", "partner_id").agg(F.countDistinct("event_id").alias("events"), F.array_join(F.sort_array(F.collect_set("partner_role")), ",").alias("roles"))
+
+
+def related(asked: DataFrame, events: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """(event_id, related, source, kind, apart): of each event asked for, those of other sources that share a key, nearest in time first.
+
+    keys has event_id, kind, place, most and v: a kind brings at most its ``most`` nearest events, and an event that several kinds
+    bring counts for the one with the lowest place. ``asked`` is a short list, so it is broadcast; the other side is read once.
+    """
+    own = keys.join(F.broadcast(asked.select("event_id", F.col("ts").alias("at"), F.col("source").alias("own"))), "event_id").withColumnRenamed("event_id", "asked")
+    other = keys.select(F.col("event_id").alias("related"), "kind", "v").join(F.broadcast(own), ["kind", "v"])
+    met = other.join(events.withColumnRenamed("event_id", "related"), "related").filter("source <> own").withColumn("apart", F.abs(F.col("ts") - F.col("at"))).dropDuplicates(["asked", "related", "kind"])
+    near = met.withColumn("r", F.row_number().over(Window.partitionBy("asked", "kind").orderBy("apart", "related"))).filter("r <= most")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("asked", "related").orderBy("place"))).filter("r = 1")
+    best = first.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("place", "apart", "related"))).filter(F.col("r") <= most)
+    return best.select(F.col("asked").alias("event_id"), "related", "source", "kind", "apart")

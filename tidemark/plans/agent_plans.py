@@ -192,7 +192,7 @@ def warm_paths(t: Tables) -> DataFrame:
     return top(met, "direct", 5).unionByName(top(firm, "firm", 10)).unionByName(top(said, "belief", 5))
 
 
-_SIGNALS = """, sig AS (SELECT DISTINCT person_id, CASE source WHEN 'calendar' THEN 'calendar' WHEN 'mail' THEN 'email_domain' ELSE 'content' END AS kind FROM ev WHERE amount > 40 UNION SELECT DISTINCT person_id, 'belief' FROM cl WHERE priority = 1 AND person_id < 150),
+_SIGNALS = """, sig AS (SELECT DISTINCT person_id, CASE source WHEN 'calendar' THEN 'calendar' WHEN 'mail' THEN 'email_domain' ELSE 'content' END AS kind FROM ev WHERE amount > 40 UNION SELECT DISTINCT person_id, 'belief' FROM cl WHERE priority = 1),
 seen AS (SELECT person_id, max(ts) AS last, count(*) AS n, bool_or(source = 'calendar') AS cal FROM ev GROUP BY person_id)
 SELECT person_id, signals, score, CASE WHEN d < 14 AND cal THEN 'meeting_scheduled' WHEN d < 14 AND n >= 3 THEN 'in_progress' WHEN d < 14 THEN 'contacted' WHEN d < 30 THEN 'follow_up' WHEN d < 60 THEN 'inactive' WHEN d < 90 THEN 'cold' ELSE 'dormant' END AS stage
 FROM (SELECT person_id, count(*) AS signals, least(10.0, sum(CASE kind WHEN 'calendar' THEN 2.5 WHEN 'email_domain' THEN 3.0 WHEN 'content' THEN 1.0 ELSE 2.0 END))::DOUBLE AS score FROM sig GROUP BY person_id)
@@ -259,9 +259,9 @@ def dossiers(t: Tables) -> DataFrame:
     return f.select("person_id", "field", (-F.col("x.turned")).alias("fragment"), "x.confidence")
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Blue River' WHEN 2 THEN 'Fund' || c_custkey ELSE NULL END AS firm FROM customer""")
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Blue River' WHEN 2 THEN 'Fund' || c_custkey WHEN 3 THEN 'A' || c_custkey || 'Z' WHEN 4 THEN 'Known Partners' ELSE NULL END AS firm FROM customer""")
 def firms(t: Tables) -> DataFrame:
-    """The firm that an address stands for; none for generic domains and names."""
-    k, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
-    mail = F.when(k == 0, "ann@GMail.com").when(k == 1, "bo@mail.blue-river.com").when(k == 2, F.concat(F.lit("cy@fund"), key, F.lit(".vc"))).otherwise("no address")
-    return t.read("customer").select("c_custkey", dis.firm(mail).alias("firm"))
+    """Generic domains have no firm, letters after digits are upper case, known domains have the name given for them."""
+    key = F.col("c_custkey").cast("string")
+    mail = F.element_at(F.array(F.lit("a@GMail.com"), F.lit("b@mail.blue-river.org"), F.concat(F.lit("c@fund"), key, F.lit(".co")), F.concat(F.lit("d@a"), key, F.lit("z.com")), F.lit("e@kp.vc"), F.lit("no address")), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return t.read("customer").select("c_custkey", dis.firm(mail, {"kp.vc": "Known Partners"}).alias("firm"))
\ No newline at end of file

@@ -30,6 +30,31 @@ today AS (SELECT max(created_at) - 30 * 86400 AS now, strftime(max(o_orderdate)
 """
 
 
+#: Tables of the store, of the same SQL in both engines: {{name}} is another table.
+STORE = {
+    "pe": "SELECT c_custkey AS person_id, c_name AS name, c_custkey = 1 AS is_user, c_nationkey AS place FROM {customer}",
+    "pid": """SELECT c_custkey AS person_id, 'email' AS id_type, 'c' || c_custkey || '@' || lower(c_mktsegment) || '.com' AS identifier FROM {customer}
+        UNION ALL SELECT c_custkey, 'phone', '+1' || (2000000000 + c_custkey) FROM {customer} UNION ALL SELECT c_custkey, 'display_name', c_name FROM {customer}""",
+    "be": """SELECT o_orderkey AS belief_id, CASE o_orderkey % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'relation' WHEN 2 THEN 'observation' ELSE 'entity' END AS belief_type, o_custkey AS subject,
+        CASE o_orderstatus WHEN 'F' THEN 'resolved' ELSE 'active' END AS status, least(o_totalprice / CAST(500000 AS DOUBLE), CAST(0.99 AS DOUBLE)) AS confidence, o_orderkey AS claim_a, o_orderkey + 1 AS claim_b FROM {orders}""",
+    "an": """SELECT event_id, 'topic' AS facet, 'topic ' || (CAST(thread_id AS INT) % 20) AS value, source FROM {ev}
+        UNION ALL SELECT event_id, 'sender_domain', 'd' || (person_id % 13) || '.com', source FROM {ev} UNION ALL SELECT event_id, 'person_mention', 'name ' || (event_id * 31 % 211), source FROM {ev} WHERE amount > 40""",
+    "sy": "SELECT 'topic ' || n_nationkey AS raw, 'region ' || n_regionkey AS canonical FROM {nation}",
+    "pr": """SELECT event_id, 'default' AS lens, score, CASE WHEN score < 0.1 THEN 'skip' WHEN score < 0.4 THEN 'low_priority' ELSE 'full_triage' END AS route
+        FROM (SELECT event_id, CAST(event_id * 37 % 1000 AS DOUBLE) / 1000 AS score FROM {ev}) x""",
+    "tk": """SELECT o_orderkey AS task_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'immediate' WHEN '2' THEN 'review' ELSE 'background' END AS bucket, o_orderkey * 7 % 1000 AS position,
+        o_orderstatus = 'F' AS done, o_custkey AS person_id, o_custkey % 40 AS story_id FROM {orders}""",
+    "ru": """SELECT s_suppkey AS rule_id, CASE s_suppkey % 2 WHEN 0 THEN '@d' || (s_suppkey % 26) || '.com' ELSE 'c' || s_suppkey || '@building.com' END AS pattern,
+        CASE s_suppkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'boost' ELSE 'mute' END AS action, CAST(s_acctbal * 100 AS BIGINT) AS created_at FROM {supplier}""",
+    "st": """SELECT c_custkey AS story_id, CASE c_custkey % 3 WHEN 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 END AS override,
+        CASE WHEN c_custkey % 7 > 0 THEN c_nationkey % 5 END AS priority, CAST(c_acctbal * 100 AS BIGINT) AS updated_at FROM {customer}""",
+    "sp": """SELECT l_shipdate AS at, 'provider ' || (l_suppkey % 3) AS provider, CASE WHEN l_linenumber = 1 THEN 'onboarding' ELSE 'triage' END AS source,
+        'model ' || (l_partkey % 4) AS model, CAST(l_quantity * 1000 AS BIGINT) AS input_tokens, CAST(l_quantity * 100 AS BIGINT) AS output_tokens, CAST(l_quantity * 300 AS BIGINT) AS cached_tokens FROM {lineitem}""",
+}
+#: In the order in which they may use each other, for the SQL of DuckDB.
+SQL = SQL.rstrip() + "".join(f",\n{name} AS ({text.format_map(type('Same', (dict,), {'__missing__': lambda self, key: key})())})" for name, text in STORE.items()) + "\n"
+
+
 class Tables:
     """The driver's tables under their own names, and the canonical ones."""
 
@@ -39,6 +64,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def store(self, name: str) -> DataFrame:
+        """A table of STORE."""
+        text = STORE[name]
+        used = {x for x in ("customer", "orders", "nation", "supplier", "lineitem", "ev") if f"{{{x}}}" in text}
+        return self.spark.sql(text, **{x: self.events if x == "ev" else self.read(x) for x in used})
+
     @cached_property
     def events(self) -> DataFrame:
         source = F.expr("case event_type when 'click' then 'mail' when 'view' then 'imessage' when 'purchase' then 'whatsapp' when 'signup' then 'calendar' else 'slack' end")

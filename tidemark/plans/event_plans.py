@@ -37,12 +37,12 @@ def content_search(t: Tables) -> DataFrame:
     return d.orderBy(F.desc("doc_id")).limit(50).select("doc_id", "source", F.substring("text", 1, 200).alias("preview"))
 
 
-@query("SELECT claim_id, event_id, id, ts FROM ce JOIN ev USING (event_id) WHERE claim_id % 10 = 1")
+@query("SELECT claim_id, event_id, id, ts FROM ce JOIN ev USING (event_id)")
 def events_for_claim(t: Tables) -> DataFrame:
     return t.claim_events.join(t.events, "event_id").select("claim_id", "event_id", "id", "ts")
 
 
-@query("SELECT event_id, claim_id, confidence FROM ce JOIN cl USING (claim_id) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY confidence DESC, claim_id) <= 3")
+@query("SELECT event_id, claim_id, confidence FROM ce JOIN cl USING (claim_id)")
 def claims_for_event(t: Tables) -> DataFrame:
     return t.claim_events.join(t.claims.select("claim_id", "confidence"), "claim_id").select("event_id", "claim_id", "confidence")
 
@@ -82,14 +82,18 @@ def calendar_corroboration(t: Tables) -> DataFrame:
     return joins.band_join(a, b, "t0", "t1", 1800, ("person_id",)).select("meeting", "other", "source", F.expr("t1 - t0").alias("apart"))
 
 
-@query("""SELECT a.event_id, b.event_id AS related, b.source, abs(a.ts - b.ts) AS apart FROM ev a JOIN ev b ON a.thread_id = b.thread_id AND a.person_id = b.person_id AND a.source <> b.source
-    QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.ts - b.ts), b.event_id) <= 3""")
+@query(""", asked AS (SELECT * FROM ev WHERE source = 'mail' ORDER BY ts DESC, event_id DESC LIMIT 20),
+k AS (SELECT event_id, 'dollar' AS kind, 1 AS place, 10 AS most, printf('%.2f', amount) AS v FROM ev WHERE amount > 20 UNION ALL SELECT event_id, 'name', 2, 3, value FROM an WHERE facet = 'person_mention' UNION ALL SELECT event_id, 'person', 3, 3, person_id::VARCHAR FROM ev),
+m AS (SELECT DISTINCT a.event_id, o.event_id AS related, o.source, x.kind, x.place, x.most, abs(a.ts - o.ts) AS apart FROM asked a JOIN k x ON x.event_id = a.event_id JOIN k y ON y.kind = x.kind AND y.v = x.v JOIN ev o ON o.event_id = y.event_id AND o.source <> a.source),
+c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY event_id, kind ORDER BY apart, related) <= most),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY event_id, related ORDER BY place) = 1)
+SELECT event_id, related, source, kind, apart FROM f QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY place, apart, related) <= 10""")
 def related_events(t: Tables) -> DataFrame:
-    """The three nearest events of another source that share thread and person."""
-    b = t.events.select(F.col("event_id").alias("related"), F.col("source"), F.col("ts").alias("t1"), "thread_id", "person_id")
-    a = t.events.select("event_id", F.col("source").alias("own"), "ts", "thread_id", "person_id")
-    both = a.join(b, ["thread_id", "person_id"]).filter("own <> source").withColumn("apart", F.abs(F.col("ts") - F.col("t1")))
-    return joins.latest_per(both, ["event_id"], F.col("apart"), F.col("related"), n=3).select("event_id", "related", "source", "apart")
+    """Of the twenty newest mails, events of other sources with the same amount (ten), then name (three), then person (three); ten in all."""
+    asked = t.events.filter("source = 'mail'").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "source")
+    key = lambda df, kind, place, most, v: df.select("event_id", F.lit(kind).alias("kind"), F.lit(place).alias("place"), F.lit(most).alias("most"), v.alias("v"))
+    keys = key(t.events.filter("amount > 20"), "dollar", 1, 10, F.format_string("%.2f", "amount")).unionByName(key(t.store("an").filter("facet = 'person_mention'"), "name", 2, 3, F.col("value"))).unionByName(key(t.events, "person", 3, 3, F.col("person_id").cast("string")))
+    return joins.related(asked, t.events.select("event_id", "ts", "source"), keys, 10)
 
 
 @query("""SELECT person_id, n, group_count, n - group_count AS direct_count, round(least(0.95, 0.3 + 0.7 * (1 - exp(-n / 20.0::DOUBLE))), 4) AS confidence FROM (

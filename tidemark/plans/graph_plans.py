@@ -21,9 +21,58 @@ def _names(t: Tables) -> DataFrame:
 _NAMES = ", nm AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name), tok AS (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name), '[\\s,.\\-_/]+'), lambda x: length(x) > 1))) AS w FROM nm)"
 
 
-@query(_NAMES + "SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS jaccard FROM tok a JOIN tok b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 1 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.3")
+_KINDS = """, nm AS (SELECT p_name || ' ' || p_type AS name, min(p_partkey) AS id FROM part GROUP BY 1 UNION ALL SELECT p_name || ' ' || p_type || ' ' || p_brand, min(p_partkey) + 1000000000 FROM part GROUP BY 1),
+tok AS (SELECT id, list_distinct(list_filter(string_split(lower(name), ' '), lambda x: length(x) > 1)) AS w FROM nm)"""
+
+
+def _long_names(t: Tables, kept: str = "true") -> DataFrame:
+    p = t.read("part").filter(kept)
+    short = p.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("name")).agg(F.min("p_partkey").alias("id"))
+    return short.unionByName(p.groupBy(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name")).agg((F.min("p_partkey") + 1000000000).alias("id")))
+
+
+@query(_KINDS + "SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS jaccard FROM tok a JOIN tok b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 2 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.67")
 def similar_names(t: Tables) -> DataFrame:
-    return identity.same_name(_names(t), 0.3, 1)
+    return identity.same_name(_long_names(t))
+
+
+@query(""", pp AS (SELECT *, lower(substr(name, 1, 17)) AS k FROM pe), ed AS (SELECT person_id, count(*) AS edges FROM ep GROUP BY person_id)
+SELECT k AS name, arg_max(pp.person_id, [is_user::INT, coalesce(edges, 0), -pp.person_id]) AS winner, count(*) AS members FROM pp LEFT JOIN ed USING (person_id) GROUP BY k HAVING count(*) > 1""")
+def same_named(t: Tables) -> DataFrame:
+    """People whose names are equal once wrappers and case are gone, and who of them stays."""
+    return identity.name_groups(_people(t))
+
+
+def _people(t: Tables) -> DataFrame:
+    edges = t.event_persons.groupBy("person_id").agg(F.count("*").alias("edges"))
+    name = F.when(F.col("person_id") % 2 == 0, F.concat(F.lit("list >> "), F.upper(F.substring("name", 1, 17)))).otherwise(F.concat(F.substring("name", 1, 17), F.lit(" (via Mail)")))
+    return t.store("pe").join(edges, "person_id", "left").select(F.col("person_id").alias("id"), name.alias("name"), "is_user", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query(""", ed AS (SELECT person_id, count(*) AS edges FROM ep GROUP BY person_id),
+w AS (SELECT pe.person_id, first_value(pe.person_id) OVER (PARTITION BY substr(name, 1, 17) ORDER BY is_user DESC, coalesce(edges, 0) DESC, pe.person_id) AS winner FROM pe LEFT JOIN ed USING (person_id))
+SELECT DISTINCT event_id, coalesce(winner, ep.person_id) AS person_id, role FROM ep LEFT JOIN w USING (person_id)""")
+def merged_edges(t: Tables) -> DataFrame:
+    """Edges after people of one name are merged."""
+    return identity.merged_edges(t.event_persons, _people(t))
+
+
+@query("SELECT c_custkey, 'ann,lee' AS tokens, CASE c_custkey % 3 WHEN 0 THEN 'x' || c_custkey || '.co.uk' ELSE 'x' || c_custkey || '.com' END AS domain FROM customer")
+def address_parts(t: Tables) -> DataFrame:
+    """The names in an address, and its root domain."""
+    key = F.col("c_custkey").cast("string")
+    mail = F.concat(F.element_at(F.array(F.lit("Ann.Lee"), F.lit("lee_ann+info"), F.lit("ann77-lee.team")), (F.col("c_custkey") % 3 + 1).cast("int")), F.when(F.col("c_custkey") % 2 == 0, "@mail.x").otherwise("@x"), key, F.when(F.col("c_custkey") % 3 == 0, ".co.uk").otherwise(".com"))
+    p = identity.email_parts(mail)
+    return t.read("customer").select("c_custkey", F.array_join(p["tokens"], ",").alias("tokens"), p["domain"].alias("domain"))
+
+
+@query(_KINDS.replace("FROM part", "FROM part WHERE p_type NOT IN ('SMALL', 'LARGE')") + """, e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM tok a JOIN tok b ON a.id < b.id AND a.id < 1000000000 AND b.id >= 1000000000 AND len(list_intersect(a.w, b.w)) = 3 AND len(b.w) = 4),
+g AS (SELECT a AS component, count(*) + 1 AS n FROM e GROUP BY a HAVING count(*) + 1 <= 15)
+SELECT b AS node, component FROM e JOIN g ON e.a = g.component UNION ALL SELECT component, component FROM g""")
+def name_clusters(t: Tables) -> DataFrame:
+    """Names that are alike, as groups of at most fifteen."""
+    links = identity.same_name(_long_names(t, "p_type not in ('SMALL', 'LARGE')")).filter("a < 1000000000 and b >= 1000000000")
+    return identity.small_components(links)
 
 
 _LONGER = _NAMES.replace("nm AS (", "nm AS (SELECT p_name || ' ' || p_brand AS name, min(p_partkey) + 1000000000 AS id FROM part WHERE p_size = 1 GROUP BY 1 UNION ALL ")

@@ -18,7 +18,10 @@ def email_mentions(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", F.explode(found).alias("email"))
 
 
-@query(f"SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g'), '{tx.URL}', '[URL]', 'g'), '{tx.PHONE}', '[PHONE]', 'g')) AS n, md5(regexp_replace(regexp_replace(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g'), '{tx.URL}', '[URL]', 'g'), '{tx.PHONE}', '[PHONE]', 'g')) AS h FROM documents")
+_MASK = r"regexp_replace(regexp_replace(regexp_replace(text, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+[.][0-9A-Za-z_.-]*[0-9A-Za-z_]', '[email]', 'g'), '\b1?[-. ]?[(]?[0-9]{3}[)]?[-. ]?[0-9]{3}[-. ]?[0-9]{4}\b', '[phone]', 'g'), 'https?://[^ \n]+', '[url]', 'g')"
+
+
+@query(f"SELECT doc_id, length({_MASK}) AS n, md5({_MASK}) AS h FROM documents")
 def masked_contacts(t: Tables) -> DataFrame:
     m = tx.mask_contacts(F.col("text"))
     return t.read("documents").select("doc_id", F.length(m).cast("long").alias("n"), F.md5(m).alias("h"))
