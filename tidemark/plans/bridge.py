@@ -45,10 +45,10 @@ STORE = {
     "tk": """SELECT o_orderkey AS task_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'immediate' WHEN '2' THEN 'review' ELSE 'background' END AS bucket, o_orderkey * 7 % 1000 AS position,
         o_orderstatus = 'F' AS done, o_custkey AS person_id, o_custkey % 40 AS story_id FROM {orders}""",
     "ru": """SELECT s_suppkey AS rule_id, CASE s_suppkey % 2 WHEN 0 THEN '@d' || (s_suppkey % 26) || '.com' ELSE 'c' || s_suppkey || '@building.com' END AS pattern,
-        CASE s_suppkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'boost' ELSE 'mute' END AS action, CAST(s_acctbal * 100 AS BIGINT) AS created_at FROM {supplier}""",
+        CASE s_suppkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'boost' ELSE 'mute' END AS action, CAST(floor(s_acctbal * 100) AS BIGINT) AS created_at FROM {supplier}""",
     "st": """SELECT c_custkey AS story_id, CASE c_custkey % 3 WHEN 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 END AS override,
-        CASE WHEN c_custkey % 7 > 0 THEN c_nationkey % 5 END AS priority, CAST(c_acctbal * 100 AS BIGINT) AS updated_at FROM {customer}""",
-    "sp": """SELECT l_shipdate AS at, 'provider ' || (l_suppkey % 3) AS provider, CASE WHEN l_linenumber = 1 THEN 'onboarding' ELSE 'triage' END AS source,
+        CASE WHEN c_custkey % 7 > 0 THEN c_nationkey % 5 END AS priority, CAST(floor(c_acctbal * 100) AS BIGINT) AS updated_at FROM {customer}""",
+    "sp": """SELECT l_shipdate AS spent_at, 'provider ' || (l_suppkey % 3) AS provider, CASE WHEN l_linenumber = 1 THEN 'onboarding' ELSE 'triage' END AS source,
         'model ' || (l_partkey % 4) AS model, CAST(l_quantity * 1000 AS BIGINT) AS input_tokens, CAST(l_quantity * 100 AS BIGINT) AS output_tokens, CAST(l_quantity * 300 AS BIGINT) AS cached_tokens FROM {lineitem}""",
 }
 #: In the order in which they may use each other, for the SQL of DuckDB.

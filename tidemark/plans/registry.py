@@ -10,12 +10,17 @@ from tidemark.plans.bridge import SQL, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The module that registered each query.
+MODULES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     """Register a function of Tables under its name. sql may use the tables of bridge.SQL, and starts with SELECT or with more tables and a comma."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
+        MODULES[f.__name__] = f.__module__.rpartition(".")[2]
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = SQL + sql
@@ -27,5 +32,5 @@ def query(sql: str | None = None):
 def load() -> None:
     import importlib
 
-    for name in ("event_plans", "claim_plans", "graph_plans", "text_plans", "quality_plans", "agent_plans"):
+    for name in ("event_plans", "claim_plans", "graph_plans", "text_plans", "quality_plans", "agent_plans", "store_plans"):
         importlib.import_module(f"tidemark.plans.{name}")
