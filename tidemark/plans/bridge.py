@@ -34,7 +34,7 @@ today AS (SELECT max(created_at) - 30 * 86400 AS now, strftime(max(o_orderdate)
 STORE = {
     "pe": "SELECT c_custkey AS person_id, c_name AS name, c_custkey = 1 AS is_user, c_nationkey AS place FROM {customer}",
     "pid": """SELECT c_custkey AS person_id, 'email' AS id_type, 'c' || c_custkey || '@' || lower(c_mktsegment) || '.com' AS identifier FROM {customer}
-        UNION ALL SELECT c_custkey, 'phone', '+1' || (2000000000 + c_custkey) FROM {customer} UNION ALL SELECT c_custkey, 'display_name', c_name FROM {customer}""",
+        UNION ALL SELECT c_custkey, 'phone', '+1' || (2000000000 + c_custkey) FROM {customer} UNION ALL SELECT c_custkey, 'display_name', translate(c_name, '#0123456789', ' abcdefghij') FROM {customer}""",
     "be": """SELECT o_orderkey AS belief_id, CASE o_orderkey % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'relation' WHEN 2 THEN 'observation' ELSE 'entity' END AS belief_type, o_custkey AS subject,
         CASE o_orderstatus WHEN 'F' THEN 'resolved' ELSE 'active' END AS status, least(o_totalprice / CAST(500000 AS DOUBLE), CAST(0.99 AS DOUBLE)) AS confidence, o_orderkey AS claim_a, o_orderkey + 1 AS claim_b FROM {orders}""",
     "an": """SELECT event_id, 'topic' AS facet, 'topic ' || (CAST(thread_id AS INT) % 20) AS value, source FROM {ev}
@@ -48,6 +48,16 @@ STORE = {
         CASE s_suppkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'boost' ELSE 'mute' END AS action, CAST(floor(s_acctbal * 100) AS BIGINT) AS created_at FROM {supplier}""",
     "st": """SELECT c_custkey AS story_id, CASE c_custkey % 3 WHEN 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 END AS override,
         CASE WHEN c_custkey % 7 > 0 THEN c_nationkey % 5 END AS priority, CAST(floor(c_acctbal * 100) AS BIGINT) AS updated_at FROM {customer}""",
+    "rw": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'mail' WHEN 1 THEN 'mail' WHEN 2 THEN 'imessage' WHEN 3 THEN 'whatsapp' WHEN 4 THEN 'calendar' WHEN 5 THEN 'granola' WHEN 6 THEN 'calls' ELSE 'slack' END AS source,
+        CASE WHEN amount > 130 THEN 'reaction' ELSE 'message' END AS event_type, ts, thread_id, person_id AS a, (person_id * 3 + 1) % 100 AS b, is_from_me, amount, CAST(thread_id AS INT) AS k,
+        CAST(thread_id AS INT) % 5 = 0 AS replied, CAST(thread_id AS INT) % 11 = 0 AS flagged, CASE WHEN CAST(thread_id AS INT) % 6 < 4 THEN CAST(thread_id AS INT) % 6 END AS category, amount > 60 AS urgent,
+        person_id % 4 = 0 AS automated, person_id % 5 = 0 AS list_id, CASE WHEN CAST(thread_id AS INT) % 13 = 0 THEN 1 ELSE 0 END AS junk_level, person_id % 6 = 0 AS noreply, amount BETWEEN 20 AND 40 AS high_impact,
+        CAST(thread_id AS INT) % 4 = 0 AS is_filtered, person_id % 7 = 0 AS delivered_quietly, CAST(thread_id AS INT) % 9 = 0 AS is_auto_reply, CAST(thread_id AS INT) % 2 = 0 AS is_group, CAST(thread_id AS INT) % 17 AS n_participants,
+        amount > 30 AS shared_url, person_id % 3 = 0 AS shared_document, CAST(thread_id AS INT) % 4 AS n_attendees, CASE person_id % 8 WHEN 0 THEN 'holiday' WHEN 1 THEN 'birthday' ELSE 'work' END AS calendar_type,
+        CAST(thread_id AS INT) % 3 = 0 AS has_transcript, person_id % 2 = 0 AS has_thread, CAST(thread_id AS INT) % 6 AS reply_count, 'team ' || (person_id % 5) AS channel, 'o' || (person_id % 7) || '@x.org' AS organizer,
+        CASE CAST(thread_id AS INT) % 8 WHEN 0 THEN 'Your order receipt' WHEN 1 THEN ' RE: Verify your address' WHEN 2 THEN 'Lunch' WHEN 3 THEN '50% off today' WHEN 4 THEN 'Appointment reminder' WHEN 5 THEN 'Welcome to the club' ELSE 'Notes' END AS subject,
+        CASE CAST(floor(amount) AS INT) % 5 WHEN 0 THEN 'http1 http2 http3 http4 http5 http6' WHEN 1 THEN 'Your statement is READY' WHEN 2 THEN 'Dear Customer, hello' ELSE 'see you' END AS body,
+        CASE person_id % 9 WHEN 0 THEN 'No-Reply@shop.com' WHEN 1 THEN 'Bo <Bo@GitHub.com>' WHEN 2 THEN 'Ann Lee' ELSE 'c' || person_id || '@x.org' END AS sender FROM {ev}""",
     "sp": """SELECT l_shipdate AS spent_at, 'provider ' || (l_suppkey % 3) AS provider, CASE WHEN l_linenumber = 1 THEN 'onboarding' ELSE 'triage' END AS source,
         'model ' || (l_partkey % 4) AS model, CAST(l_quantity * 1000 AS BIGINT) AS input_tokens, CAST(l_quantity * 100 AS BIGINT) AS output_tokens, CAST(l_quantity * 300 AS BIGINT) AS cached_tokens FROM {lineitem}""",
 }
