@@ -2,7 +2,7 @@
 
 A normalised text is cut where its own bytes say so: after five bytes whose hashes meet a condition that one place in 512 does
 in any script, once a chunk has ``least`` bytes, and after ``most`` at the latest. The condition is one on a window, as of
-a rolling hash: two neighbours whose 3-bit hashes add up to 0 modulo 8, two more, and a byte with hash 0. As there are only 256 bytes, sets of
+a rolling hash: a byte with a 3-bit hash of 0, and two pairs of neighbours whose hashes add up to 0 modulo 8. As there are only 256 bytes, sets of
 them say that in a regular expression over the text's bytes. So an inserted character moves the cuts near it alone. The distinct
 chunks get identifiers: two 64-bit hashes under a seed, verified by comparing the chunks themselves,
 that no two different chunks share one (else the next seed is tried). Texts are equal if their
@@ -32,7 +32,7 @@ def _window(first: int, second: int) -> str:
 
 
 #: Where a chunk may end: at one place in 8**3 of bytes without order.
-_CUT = _window(181, 97) + _window(149, 211) + _set(113, 0)
+_CUT = _set(113, 0) + _window(181, 97) + _window(149, 211)
 
 
 def normalised(text: Column) -> Column:
