@@ -1,7 +1,8 @@
 """Removal of passages that repeat across documents, by Rabin-Karp hashes of every token window.
 
 Every run of ``width`` words is hashed. Chunks of documents (ranges of doc_id) send their distinct
-window hashes, as arrays, to buckets of the key space, where Spark counts in how many chunks each occurs. That only finds
+window hashes, as arrays of 32 bits each, to buckets of the key space, where Spark counts in how many chunks each occurs. A bucket
+holds as many hashes as a chunk at most, so 32 bits tell them apart but for one in a thousand. That only finds
 candidates: a window whose hash occurs again gets a 128-bit cryptographic digest of its words, and goes if an earlier chunk
 holds its digest, or an earlier document of its own chunk. So a confusion of 64-bit hashes costs time and removes nothing.
 The windows that go merge into maximal intervals of words to remove.
@@ -43,11 +44,15 @@ def _windows(t: pa.Table, width: int, bits: int) -> tuple[pa.Table, np.ndarray,
     known = presplit.Cache(xxhash.xxh64_intdigest)
     hashes = [window_hashes((x or "").encode("utf-8").split(), width, known) for x in t["text"].to_pylist()]
     counts = np.array([len(h) for h in hashes], np.int64)
-    return t, np.concatenate(hashes) >> np.uint64(64 - bits) << np.uint64(64 - bits), np.repeat(rank, counts), counts
+    joined = np.concatenate(hashes)
+    return t, joined if bits == 64 else joined >> np.uint64(64 - bits) << np.uint64(64 - bits), np.repeat(rank, counts), counts
 
 
 def _counted(sent: DataFrame) -> DataFrame:
-    """(chunk, bucket, flags): for each array of keys one byte per key, whether other chunks have it. Arrays are dealt out once, then counted key by key."""
+    """(chunk, bucket, flags) for arrays (bucket, keys): one byte per key, whether it occurs again. Arrays are dealt out once, then counted key by key.
+
+    The first place of an array has its chunk, so both readers of the exchange take the same columns of it and share it.
+    """
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = left["keys"].combine_chunks()
@@ -57,11 +62,12 @@ def _counted(sent: DataFrame) -> DataFrame:
             shared = np.sort(right["shared"].combine_chunks().flatten().to_numpy())
             hit = (shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own).astype(np.uint8)
         ends = np.cumsum(size)
-        return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "flags": pa.array([hit[e - n : e].tobytes() for n, e in zip(size.tolist(), ends.tolist())], pa.binary())})
+        flags = [hit[e - n + 1 : e].tobytes() for n, e in zip(size.tolist(), ends.tolist())]
+        return pa.table({"chunk": own[ends - size], "bucket": left["bucket"], "flags": pa.array(flags, pa.binary())})
 
     dealt = sent.repartition("bucket")
-    counts = dealt.select("bucket", F.explode("keys").alias("key")).groupBy("bucket", "key").agg(F.count("*").alias("chunks"))
-    shared = counts.filter("chunks > 1").groupBy("bucket").agg(F.collect_list("key").alias("shared"))
+    each = dealt.select("bucket", F.posexplode("keys").alias("place", "key")).filter("place > 0")
+    shared = each.groupBy("bucket", "key").agg(F.count("*").alias("times")).filter("times > 1").groupBy("bucket").agg(F.collect_list("key").alias("shared"))
     return dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(mark, blocks.FLAGS_DDL)
 
 
@@ -122,7 +128,9 @@ def _find(width: int, n: int, bits: int):
         least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, of, rank[at])
         code = of << 1 | (rank[at] > least[of])
-        places = np.array([row, start, code], "<i4").tobytes()
+        new_run = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(start) != 1))))
+        runs = np.array([row[new_run], start[new_run], np.diff(np.append(new_run, len(row)))], "<i4")
+        places = np.array([len(new_run)], "<i4").tobytes() + runs.tobytes() + code.astype("<i4").tobytes()
         sent = blocks.send(chunk, n, np.ascontiguousarray(distinct[:, 0]), np.ascontiguousarray(distinct[:, 1]))
         none = pa.array([_DIGESTS] * sent.num_rows, pa.int32())
         first_row = pa.table([[_PLACES], [chunk], [-1], [places], [b""]], schema=_FOUND)
@@ -148,15 +156,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         keys = np.unique(_windows(t, width, bits)[1])
         at = blocks.buckets(keys, n)
         full = np.flatnonzero(np.diff(at))
-        arrays = pa.ListArray.from_arrays(pa.array(np.append(at[full], len(keys)), pa.int32()), pa.array(keys.view(np.int64)))
-        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([t["chunk"][0].as_py()] * len(full), pa.int32()), "keys": arrays})
+        cut = np.append(at[full], len(keys))
+        arrays = pa.ListArray.from_arrays(pa.array(cut + np.arange(len(cut)), pa.int32()), pa.array(np.insert((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), at[full], t["chunk"][0].as_py())))
+        return pa.table({"bucket": pa.array(full, pa.int32()), "keys": arrays})
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by([("id", "ascending"), ("text", "ascending")])
         right = right.sort_by("bucket")
         row, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if right.num_rows:  # the places come first
-            row, start, code = np.frombuffer(right["flags"][0].as_py(), "<i4").reshape(3, -1).astype(np.int64)
+            places = np.frombuffer(right["flags"][0].as_py(), "<i4").astype(np.int64)
+            runs, code = places[1 : 1 + 3 * places[0]].reshape(3, -1), places[1 + 3 * places[0] :]
+            row = np.repeat(runs[0], runs[2])
+            start = np.repeat(runs[1], runs[2]) + np.arange(len(row)) - np.repeat(np.cumsum(runs[2]) - runs[2], runs[2])
             flags = np.frombuffer(b"".join(right["flags"].to_pylist()[1:]), np.uint8)
             goes = (code & 1).astype(bool) | flags[code >> 1].astype(bool)
             row, start = row[goes], start[goes]
@@ -180,8 +192,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "intervals": span, "kept": pa.string()}
         return pa.table({"doc_id": ids} | {k: pa.array(out[k], kind) for k, kind in types.items() if keep or k != "kept"})
 
-    counted = _counted(rows.groupBy("chunk").applyInArrow(tell, "bucket int, chunk int, keys array<long>"))
+    counted = _counted(rows.groupBy("chunk").applyInArrow(tell, "bucket int, keys array<int>"))
     found, _ = workspace.cut(rows.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_find(width, n, bits), _FOUND_DDL), "candidates")
+    workspace.release(docs.sparkSession)
     told = blocks.exchange(found.filter(F.col("kind") == _DIGESTS).drop("kind"), _repeated)
     marks = found.filter(F.col("kind") == _PLACES).select("chunk", "bucket", F.col("keys").alias("flags")).unionByName(told)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<first: long, end: long>>" + ", kept string" * keep

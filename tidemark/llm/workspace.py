@@ -84,6 +84,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does once the driver's JVM has collected what referred to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let the session send at most ``rows`` rows at once to Python: texts are long, and JVM and worker both hold a batch or more.
 
