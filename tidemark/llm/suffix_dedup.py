@@ -11,8 +11,9 @@ digests of their bytes, or by the sort, which compares the bytes; nothing goes b
 1. Chunks of documents (by a hash of id and text) exchange the distinct (anchor, fragment digest) pairs that they hold.
 2. A fragment that occurs twice as a whole needs no sorting: its suffixes and those of its copy are pairs of neighbours
    anyway, so all its windows repeat. One whose anchor occurs nowhere else has none. All others, with the
-   fragments that share their anchor (one copy of each), are sorted by linear grouping
-   (suffix_sort), and their repeated windows are read off neighbouring suffixes.
+   fragments that share their anchor (one copy of each), go to the sort. A window reaches so far to the left of its anchor
+   and so far to the right; of each fragment only the stretch is kept where another one agrees with it nearly that far. These
+   stretches are sorted by linear grouping (suffix_sort), and their repeated windows are read off neighbouring suffixes.
 3. The spans of each chunk come back to its documents and are cut out.
 
 An anchor with more than ``dense`` distinct fragments (the ends of a very common passage) would be one long
@@ -22,6 +23,7 @@ sort. The digests of its fragments' windows are exchanged instead, once from eac
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -43,12 +45,13 @@ _SPANS, _SORTED, _WINDOWS, _FLAGS = 0, 1, 2, 3
 
 @dataclass
 class Fragments:
-    """Of each fragment: its row, the first and last start of its windows, anchor hash, and the two halves of its digest."""
+    """Of each fragment: its row, the first and last start of its windows, anchor hash, where the anchor begins in it, and the two halves of its digest."""
 
     row: np.ndarray
     first: np.ndarray
     last: np.ndarray
     key: np.ndarray
+    anchor: np.ndarray
     frag: np.ndarray
     rest: np.ndarray
 
@@ -91,7 +94,7 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[tuple[int, int, bytes]]:
 def fragments(texts: list[bytes], width: int, bits: int = 64) -> Fragments:
     half = width // 2
     span = width - half + 1
-    pieces, out = list(_pieces(texts, width)), [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3]
+    pieces, out = list(_pieces(texts, width)), [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)] + [np.zeros(0, np.uint64)] * 2]
     for s, e in blocks.slices([len(p) for _, _, p in pieces], _SLICE):
         part = pieces[s:e]
         size = np.array([len(p) for _, _, p in part])
@@ -115,7 +118,7 @@ def fragments(texts: list[bytes], width: int, bits: int = 64) -> Fragments:
         row = np.array([r for r, _, _ in part])[owner[first]]
         shift = np.array([o for _, o, _ in part])[owner[first]] - (stop - size)[owner[first]]
         key = blocks.mix(hashes[anchor] + np.uint64(1))  # anchors have small hashes; spread them over all buckets
-        out.append([row, first + shift, last + shift, narrow(key, bits), narrow(digest[:, 0], bits), digest[:, 1]])
+        out.append([row, first + shift, last + shift, narrow(key, bits), anchor - first, narrow(digest[:, 0], bits), digest[:, 1]])
     return Fragments(*(np.concatenate(x) for x in zip(*out)))
 
 
@@ -161,8 +164,8 @@ def _columns(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<i8").reshape(n, -1)
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary()), ("key", pa.int64()), ("frag", pa.binary()), ("row", pa.int64()), ("first", pa.int64())])
-_FOUND_DDL = "kind int, chunk int, bucket int, keys binary, extra binary, key long, frag binary, row long, first long"
+_FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary()), ("key", pa.int64()), ("frag", pa.binary()), ("row", pa.int64()), ("first", pa.int64()), ("anchor", pa.int32())])
+_FOUND_DDL = "kind int, chunk int, bucket int, keys binary, extra binary, key long, frag binary, row long, first long, anchor int"
 
 
 def _find(width: int, n: int, bits: int):
@@ -179,12 +182,12 @@ def _find(width: int, n: int, bits: int):
         if len(whole):
             row, a, b = f.row[whole], f.first[whole], f.last[whole]
             new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (a[1:] != b[:-1] + 1))))
-            rows.append((_SPANS, chunk, 0, _blob(row[new], a[new], b[np.append(new[1:], len(row)) - 1] + width), None, 0, b"", 0, 0))
+            rows.append((_SPANS, chunk, 0, _blob(row[new], a[new], b[np.append(new[1:], len(row)) - 1] + width), None, 0, b"", 0, 0, 0))
         for x in np.flatnonzero(told & SORT).tolist():
             i = one[x]
             at = int(f.first[i])
             data = texts[f.row[i]][at : int(f.last[i]) + width]
-            rows.append((_SORTED, -1 if told[x] & WHOLE else chunk, int(keys[x] % np.uint64(8 * n)), data, None, int(keys[x].astype(np.int64)), extra[x].tobytes()[:16], int(f.row[i]), at))
+            rows.append((_SORTED, -1 if told[x] & WHOLE else chunk, int(keys[x] % np.uint64(8 * n)), data, None, int(keys[x].astype(np.int64)), extra[x].tobytes()[:16], int(f.row[i]), at, int(f.anchor[i])))
         dense = np.flatnonzero(mine & DENSE)
         if len(dense):
             size = (f.last - f.first + 1)[dense]
@@ -196,31 +199,61 @@ def _find(width: int, n: int, bits: int):
             where[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
             own, more = found[order[at]], np.empty(len(at), _WINDOW)
             more["rest"], more["n"] = own[:, 1], np.minimum(np.diff(np.append(at, len(order))), 2)
-            rows.append((_WINDOWS, chunk, -1, _blob(where, row, start), None, 0, b"", 0, 0))
+            rows.append((_WINDOWS, chunk, -1, _blob(where, row, start), None, 0, b"", 0, 0, 0))
             sent = blocks.send(chunk, n, np.ascontiguousarray(own[:, 0]), more)
-            rows += [(_FLAGS, chunk, r["bucket"], r["keys"], r["extra"], 0, b"", 0, 0) for r in sent.to_pylist()]
+            rows += [(_FLAGS, chunk, r["bucket"], r["keys"], r["extra"], 0, b"", 0, 0, 0) for r in sent.to_pylist()]
         return pa.table([list(x) for x in zip(*rows)] if rows else [[] for _ in _FOUND], schema=_FOUND)
 
     return find
 
 
+def stretches(data: list[bytes], anchors: list[int], width: int, classes: int = 10) -> list[tuple[int, int]]:
+    """Of each fragment of one anchor the first and last start of windows that may occur in another of them; (0, -1) if none.
+
+    Windows are put in classes by how far they reach to the left of the anchor. All of a class hold the same bytes but for a few at
+    the ends, so a window can only occur again where these bytes do.
+    """
+    span = width - width // 2
+    step = max(1, span // classes)
+    held, times = [], Counter()
+    for d, a in zip(data, anchors):
+        last = len(d) - width
+        own = []
+        for left in range(max(0, (a - last) // step * step), min(span, a) + 1, step):
+            lo, hi = max(0, a - left - step + 1), min(last, a - left)
+            if lo <= hi:
+                own.append((left, d[a - left : a + width - left - step + 1], lo, hi))
+        times.update((left, x) for left, x, _, _ in own)
+        held.append(own)
+    out = []
+    for own in held:
+        hit = [(lo, hi) for left, x, lo, hi in own if times[left, x] > 1]
+        out.append((min(lo for lo, _ in hit), max(hi for _, hi in hit)) if hit else (0, -1))
+    return out
+
+
 def _sorter(width: int, most: int):
     """Of the fragments of a bucket of anchors: the spans of their repeated windows, by chunk."""
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("frag", "ascending"), ("chunk", "descending")])
-        chunk, row, first = (t[c].to_numpy() for c in ("chunk", "row", "first"))
+        chunk, row, first, anchor = (t[c].to_numpy() for c in ("chunk", "row", "first", "anchor"))
         key, frag, data = t["key"].to_numpy(), t["frag"].to_pylist(), t["keys"].to_pylist()
         keep = np.concatenate(([True], (key[1:] != key[:-1]) | np.array([x != y for x, y in zip(frag[1:], frag)], bool)))
         at = np.flatnonzero(keep)
         groups = np.append(np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1]))), len(at))
-        sizes = [sum(len(data[i]) for i in at[s:e]) for s, e in zip(groups[:-1], groups[1:])]
+        cut: list[list[tuple[int, int, bytes]]] = []
+        for s, e in zip(groups[:-1], groups[1:]):
+            own = at[s:e].tolist()
+            parts = stretches([data[i] for i in own], anchor[own].tolist(), width)
+            cut.append([(i, lo, data[i][lo : hi + width]) for i, (lo, hi) in zip(own, parts) if lo <= hi])
         out: list[tuple[int, int, int, int]] = []
-        for s, e in blocks.slices(sizes, most):
-            own = at[groups[s] : groups[e]].tolist()
-            for i, starts in zip(own, repeated_windows([data[i] for i in own], width)):
+        for s, e in blocks.slices([sum(len(d) for _, _, d in x) for x in cut], most):
+            own = [x for part in cut[s:e] for x in part]
+            for (i, lo, _), starts in zip(own, repeated_windows([d for _, _, d in own], width)):
                 if chunk[i] >= 0:
-                    out += [(int(chunk[i]), int(row[i]), int(first[i]) + x, int(first[i]) + x + width) for x in starts]
+                    begin = int(first[i]) + lo
+                    out += [(int(chunk[i]), int(row[i]), begin + x, begin + x + width) for x in starts]
         found = np.array(out, np.int64).reshape(-1, 4)
         rows = [(c, _blob(*found[found[:, 0] == c].T[1:])) for c in np.unique(found[:, 0]).tolist()]
         return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
@@ -274,7 +307,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     told = blocks.exchange(bare.groupBy("chunk").applyInArrow(tell, blocks.SENT_DDL), _judge(dense))
     found, _ = workspace.cut(bare.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_find(width, n, bits), _FOUND_DDL), "fragments")
     direct = found.filter(F.col("kind").isin(_SPANS, _WINDOWS)).select("chunk", "kind", "bucket", F.col("keys").alias("blob"))
-    by_sort = found.filter(F.col("kind") == _SORTED).select("bucket", "chunk", "key", "frag", "row", "first", "keys").groupBy("bucket").applyInArrow(_sorter(width, sort_bytes), "chunk int, blob binary")
+    by_sort = found.filter(F.col("kind") == _SORTED).select("bucket", "chunk", "key", "frag", "row", "first", "anchor", "keys").groupBy("bucket").applyInArrow(_sorter(width, sort_bytes), "chunk int, blob binary")
     by_sort = by_sort.select("chunk", F.lit(_SORTED).alias("kind"), F.lit(0).alias("bucket"), "blob")
     flags = blocks.exchange(found.filter(F.col("kind") == _FLAGS).select("bucket", "chunk", "keys", "extra"), _repeats)
     flags = flags.select("chunk", F.lit(_FLAGS).alias("kind"), "bucket", F.col("flags").alias("blob"))
