@@ -96,6 +96,18 @@ def clean_mail_body(x: Column) -> Column:
     return F.regexp_replace(plain, r"^\s+|\s+$", "")
 
 
+#: What the body of a mail should no longer hold, and the name of each.
+LEAKS = {
+    "quoted_reply": r"(?ms)^>.*^>", "attribution": r"(?m)^On .+ wrote:\s*$", "headers": r"(?ms)^From:.*^Sent:.*^To:.*^Subject:", "forwarded": r"(?i)-{5,}\s*forwarded message",
+    "signature": r"(?im)^(best regards|kind regards|sent from my )", "html": r"(?i)<(div|html|body|table|span|br|p)\b[^>]*>", "invisible": r"[\u200B-\u200F\u2060\uFEFF\u00AD]",
+}
+
+
+def body_leaks(x: Column) -> Column:
+    """The names of what a body still holds; null and empty hold nothing."""
+    return F.array_compact(F.array(*(F.when(x.rlike(p), name) for name, p in LEAKS.items())))
+
+
 def mask_secrets(x: Column) -> Column:
     for pattern in SECRETS:
         x = F.regexp_replace(x, pattern, "$1[REDACTED]")
