@@ -160,12 +160,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str
 
         def framed() -> Iterator[bytes]:
             nonlocal at
-            for x in t["text"]:
-                payload = own.encode(x.as_py() or "") + end
-                offsets.append(at)
-                counts.append(len(payload) // own.width)
-                at += 16 + len(payload)
-                yield b"".join(frame(payload))
+            for first in range(0, t.num_rows, 500):
+                parts = []
+                for x in t["text"].slice(first, 500).to_pylist():
+                    payload = own.encode(x or "") + end
+                    offsets.append(at)
+                    counts.append(len(payload) // own.width)
+                    at += 16 + len(payload)
+                    parts += frame(payload)
+                yield b"".join(parts)
 
         uri = f"{folder}/shard-{chunk:08d}.rec"
         ids = pa.compute.fill_null(t["doc_id"], -(1 << 63)).to_numpy()
