@@ -34,8 +34,8 @@ def brute_vectors(rows, threshold):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_embeddings(spark, block):
+@pytest.mark.parametrize("block,sparse", [(512, 32), (4, 4), (512, 1), (4, 1000)])
+def test_embeddings(spark, block, sparse):
     rng = np.random.default_rng(3)
     f = lambda x: [float(np.float32(c)) for c in x]
     rows = []
@@ -45,7 +45,7 @@ def test_embeddings(spark, block):
     rows += [(500 + j, f(np.ones(16)), 1) for j in range(30)] + [(600, f(2 * np.ones(16)), 1), (601, f(np.ones(8)), 1)]
     rows += [(700, None, 1), (701, [], 1), (702, f(np.zeros(16)), 1), (703, [None] * 16, 1), (704, [float("nan")] + [1.0] * 15, 1), (705, [float("inf")] + [1.0] * 15, 1), (706, f(np.ones(16)), None), (None, f(np.ones(16)), 1), (500, f(np.ones(16)), 1)]
     df = spark.createDataFrame([(*r, "x", None) for r in rows], "vec_id long, embedding array<float>, label int, rep string, codes int").repartition(3)
-    got = Counter(map(tuple, embedding_dedup.near_duplicates(df, miss=1e-6, block=block).select("vec_id", "n_links", "component_id", "kept").collect()))
+    got = Counter(map(tuple, embedding_dedup.near_duplicates(df, miss=1e-6, block=block, sparse=sparse).select("vec_id", "n_links", "component_id", "kept").collect()))
     assert got == brute_vectors(rows, 0.93)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
