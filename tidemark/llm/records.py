@@ -117,7 +117,7 @@ class Encoder:
         self.specials = presplit.special_tokens(path)
         self.split, self.words = presplit.splitter(self.specials), presplit.finder(presplit.ASCII_BYTE_PATTERN, presplit.BYTE_PATTERN)
         self.cache = presplit.Cache(self.encode_word, 800_000)
-        self.sizes = presplit.Cache(lambda word: len(self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))), 1 << 16)
+        self.sizes = presplit.Cache(lambda word: len(self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))), 400_000)
 
     def encode_word(self, word: str) -> bytes:
         pieces = self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))
