@@ -38,16 +38,17 @@ def anchored_clusters(df: DataFrame, keys: list[str], at: str, tie: str, width:
 def bursts(events: DataFrame, width: int = 300, least: int = 3, sources: int = 2) -> DataFrame:
     """(bucket, event_id, ts, n_events, n_sources): events that open a window of ``width`` seconds with enough events and sources; the first of each bucket.
 
-    Each event counts the events from itself to ``width`` later. Events go to the slot of their bucket and the one before, so
-    windows are bounded by time, not by one global order.
+    Each second counts the events from itself to ``width`` later. Seconds, with the number of their events and their sources, go to the slot
+    of their bucket and the one before, so a window has at most 2 * width rows, however many events there are.
     """
+    each = events.groupBy("ts").agg(F.count("*").alias("n"), F.collect_set("source").alias("s"), F.min("event_id").alias("event_id"))
     slot = F.floor(F.col("ts") / width)
-    pieces = events.withColumn("slot", F.explode(F.array(slot, slot - 1))).withColumn("own", F.floor(F.col("ts") / width) == F.col("slot"))
+    pieces = each.withColumn("slot", F.explode(F.array(slot, slot - 1))).withColumn("own", F.floor(F.col("ts") / width) == F.col("slot"))
     ahead = Window.partitionBy("slot").orderBy("ts").rangeBetween(0, width)
-    counted = pieces.withColumn("n_events", F.count("*").over(ahead)).withColumn("n_sources", F.size(F.collect_set("source").over(ahead)))
+    counted = pieces.withColumn("n_events", F.sum("n").over(ahead)).withColumn("n_sources", F.size(F.array_distinct(F.flatten(F.collect_list("s").over(ahead)))))
     hot = counted.filter(F.col("own") & (F.col("n_events") >= least) & (F.col("n_sources") >= sources))
-    first = Window.partitionBy("slot").orderBy("ts", "event_id")
-    return hot.withColumn("r", F.row_number().over(first)).filter("r = 1").select(F.col("slot").alias("bucket"), "event_id", "ts", F.col("n_events").cast("long").alias("n_events"), F.col("n_sources").cast("long").alias("n_sources"))
+    first = Window.partitionBy("slot").orderBy("ts")
+    return hot.withColumn("r", F.row_number().over(first)).filter("r = 1").select(F.col("slot").alias("bucket"), "event_id", "ts", "n_events", F.col("n_sources").cast("long").alias("n_sources"))
 
 
 #: Words that say nothing about a commitment.
@@ -71,7 +72,7 @@ def alike(a: str, b: str, votes: int = 2) -> bool:
 def fuzzy_pairs(df: DataFrame, item: str, text: str, keys: list[str], votes: int = 2) -> DataFrame:
     """(a, b): pairs of items of one block that are alike. Only pairs that share a first 25 characters or a content word are looked at: with
     two votes needed, one of the first two tests must hold, so no pair is lost. The tests run in Arrow batches."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\w\s]", " ")), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"(?U)[^\w\s]", "")), r"(?U)\s+"), lambda w: w != "")
     useful = F.array_except(words, F.array(*map(F.lit, sorted(STOP))))
     base = df.select(*keys, F.col(item).alias("i"), F.col(text).alias("t"))
     keyed = df.select(*keys, F.col(item).alias("i"), F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(F.lower(text), 1, 25))), F.when(F.size(useful) > 0, useful).otherwise(words)))).alias("w"))

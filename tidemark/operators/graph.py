@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
     return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
