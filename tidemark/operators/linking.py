@@ -17,7 +17,7 @@ def identities(events: DataFrame) -> DataFrame:
 
     A mail's participant string may hold copies after "; CC:".
     """
-    pieces = F.transform("participants", lambda raw: F.transform(F.split(raw, r"(?i);\s*CC:\s*"), lambda piece, i: F.struct(piece.alias("raw"), (i > 0).alias("is_cc"))))
+    pieces = F.transform(F.filter("participants", lambda raw: raw.isNotNull()), lambda raw: F.transform(F.split(raw, r"(?i);\s*CC:\s*"), lambda piece, i: F.struct(piece.alias("raw"), (i > 0).alias("is_cc"))))
     one = events.select("*", F.posexplode(F.flatten(pieces)).alias("at", "piece")).drop("participants")
     who = one.withColumn("who", tx.participant(F.col("piece.raw"))).filter(F.col("who.kind").isin("email", "phone", "name"))
     return who.select("*", F.col("piece.is_cc").alias("is_cc"), "who.kind", "who.value", F.when(F.col("who.kind") == "name", F.col("who.value")).otherwise(F.col("who.name")).alias("name")).drop("piece", "who")
