@@ -16,9 +16,10 @@ Then the transition table is compiled. Tokens are numbered along the tree of lef
 all arcs that grew from a lost one are a range of numbers, and a state's row is a short list of the ranges that it
 lacks. The table is built once, on the driver, and broadcast; its size follows the vocabulary alone.
 
-The automaton accepts one path for each byte string, so each prefix of a word has one state. A word is read from left
-to right: the state after a prefix is that of the one token which ends there and which the table allows after the
-state where it starts. Nothing is searched or taken back. The arcs' labels spell the decoded text.
+The automaton accepts one path for each byte string, so each prefix of a word has one state. A word is read byte by byte
+from left to right: a second table (the tokens' labels as a deterministic matcher) says which tokens end at each byte, and the state
+there is that of the one which the transition table allows after the state where it starts. Nothing is searched or taken
+back. The arcs' labels spell the decoded text.
 """
 
 from __future__ import annotations
@@ -132,19 +133,62 @@ class Table:
         self.rest()
 
     def rest(self) -> None:
-        #: Every end of a token, with the token that spells it, -1 if none does.
-        self.ends: dict[bytes, int] = dict.fromkeys((b[i:] for b in self.token for i in range(1, len(b))), -1) | self.token
+        self.match()
         self.rows = presplit.Rows(self.row_of)
         self.after = (self.number + 1).tolist()
         self.cache = presplit.Cache(self.path, self.most)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("ends", "rows", "after", "cache")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("next", "fail", "here", "found", "rows", "after", "cache")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.rest()
 
+    def match(self) -> None:
+        """The matcher: nodes are beginnings of tokens; next goes on from one by a byte, fail to the longest end of it that is a beginning too."""
+        self.next, self.here, last = {}, [-1], [0]
+        for label, t in self.token.items():
+            node = 0
+            for b in label:
+                key = node << 8 | b
+                child = self.next.get(key)
+                if child is None:
+                    child = self.next[key] = len(self.here)
+                    self.here.append(-1)
+                    last.append(key)
+                node = child
+            self.here[node] = t
+        self.fail = [0] * len(self.here)
+        depth = [0] * len(self.here)
+        for node in range(1, len(last)):
+            depth[node] = depth[last[node] >> 8] + 1
+        steps = dict(self.next)
+        for node in sorted(range(1, len(last)), key=depth.__getitem__):
+            back, b = self.fail[last[node] >> 8], last[node] & 255
+            if last[node] >> 8:
+                while back and back << 8 | b not in steps:
+                    back = self.fail[back]
+                self.fail[node] = steps.get(back << 8 | b, 0)
+        self.found = presplit.Rows(self.tokens_at)
+        self.next = presplit.Rows(self.go)
+        self.next.update(steps)
+
+    def go(self, key: int) -> int:
+        """Where the matcher goes from a node (the upper bits) by a byte that doesn't go on from it."""
+        node, b = key >> 8, key & 255
+        return self.next[self.fail[node] << 8 | b] if node else 0
+
+    def tokens_at(self, node: int) -> list[tuple[int, int, int]]:
+        """(length, token, place in the rows) of the tokens that end at a node, the longest first."""
+        out = []
+        while node:
+            t = self.here[node]
+            if t >= 0:
+                out.append((len(self.labels[t]), t, self.after[t]))
+            node = self.fail[node]
+        return out
+
     def row_of(self, state: int) -> list[int]:
         return self.edges[self.row[state] : self.row[state + 1]].tolist()
 
@@ -157,17 +201,11 @@ class Table:
         whole = self.token.get(word)
         if whole is not None:  # every arc starts at the first state
             return whole.to_bytes(4, "little")
-        ends, rows, after, states = self.ends.get, self.rows, self.after, [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            found = []
-            for start in range(end - 1, -1, -1):
-                t = ends(word[start:end])
-                if t is None:
-                    break
-                if t >= 0:
-                    found.append((start, t))
-            for start, t in reversed(found):
-                if not start or not bisect_left(rows[states[start]], after[t]) & 1:  # as step()
+        step, found, rows, states, node = self.next, self.found, self.rows, [-1] * (len(word) + 1), 0
+        for end, b in enumerate(word, 1):
+            node = step[node << 8 | b]
+            for n, t, place in found[node]:
+                if n == end or not bisect_left(rows[states[end - n]], place) & 1:  # as step()
                     states[end] = t
                     break
             else:

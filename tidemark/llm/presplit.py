@@ -73,14 +73,16 @@ def splitter(specials: dict[str, int]) -> Callable[[str], list[str]]:
 
 
 class Rows(dict):
-    """A dict that computes what it lacks; for keys of which there is a bounded number."""
+    """A dict that computes what it lacks, and keeps the first ``most`` of it."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int = 1 << 21):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
         return value
 
 
