@@ -32,5 +32,5 @@ def query(sql: str | None = None):
 def load() -> None:
     import importlib
 
-    for name in ("event_plans", "claim_plans", "graph_plans", "text_plans", "quality_plans", "agent_plans", "store_plans", "signal_plans", "belief_plans"):
+    for name in ("event_plans", "claim_plans", "graph_plans", "text_plans", "quality_plans", "agent_plans", "store_plans", "signal_plans", "belief_plans", "desk_plans"):
         importlib.import_module(f"tidemark.plans.{name}")
