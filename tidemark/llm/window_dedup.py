@@ -51,7 +51,8 @@ def _windows(t: pa.Table, width: int, bits: int) -> tuple[pa.Table, np.ndarray,
 def _counted(sent: DataFrame) -> DataFrame:
     """(chunk, bucket, flags) for arrays (bucket, keys): one byte per key, whether it occurs again. Arrays are dealt out once, then counted key by key.
 
-    The first place of an array has its chunk, so both readers of the exchange take the same columns of it and share it.
+    The first place of an array has its chunk, so both readers of the exchange take the same columns of it, and the counts name the
+    bucket otherwise, so no plan is copied under other names: both share one exchange.
     """
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -66,9 +67,9 @@ def _counted(sent: DataFrame) -> DataFrame:
         return pa.table({"chunk": own[ends - size], "bucket": left["bucket"], "flags": pa.array(flags, pa.binary())})
 
     dealt = sent.repartition("bucket")
-    each = dealt.select("bucket", F.posexplode("keys").alias("place", "key")).filter("place > 0")
-    shared = each.groupBy("bucket", "key").agg(F.count("*").alias("times")).filter("times > 1").groupBy("bucket").agg(F.collect_list("key").alias("shared"))
-    return dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(mark, blocks.FLAGS_DDL)
+    each = dealt.select(F.col("bucket").alias("of"), F.posexplode("keys").alias("place", "key")).filter("place > 0")
+    shared = each.groupBy("of", "key").agg(F.count("*").alias("times")).filter("times > 1").groupBy("of").agg(F.collect_list("key").alias("shared"))
+    return dealt.groupBy("bucket").cogroup(shared.groupBy("of")).applyInArrow(mark, blocks.FLAGS_DDL)
 
 
 def digests(words: list[bytes], starts: list[int], width: int) -> np.ndarray:
@@ -153,7 +154,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows, n = blocks.chunked(rows, "id", "text", target)
 
     def tell(t: pa.Table) -> pa.Table:
-        keys = np.unique(_windows(t, width, bits)[1])
+        keys = blocks.distinct(_windows(t, width, bits)[1])
         at = blocks.buckets(keys, n)
         full = np.flatnonzero(np.diff(at))
         cut = np.append(at[full], len(keys))
