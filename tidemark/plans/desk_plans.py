@@ -179,10 +179,10 @@ def desk_overview(t: Tables) -> DataFrame:
     return t.store("tk").groupBy("bucket", "done").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT task_id, thread_id FROM tk JOIN ce ON claim_id = task_id JOIN ev USING (event_id) WHERE task_id = 40")
+@query("SELECT DISTINCT task_id, thread_id FROM tk JOIN ce ON claim_id = task_id JOIN ev USING (event_id) WHERE task_id = 33")
 def thread_of_task(t: Tables) -> DataFrame:
     """From a task to its claim, events and threads."""
-    k = store.find(t.store("tk"), task_id=40).select("task_id").join(t.claim_events.withColumnRenamed("claim_id", "task_id"), "task_id")
+    k = store.find(t.store("tk"), task_id=33).select("task_id").join(t.claim_events.withColumnRenamed("claim_id", "task_id"), "task_id")
     return k.join(t.events.select("event_id", "thread_id"), "event_id").select("task_id", "thread_id").distinct()
 
 
