@@ -49,10 +49,10 @@ def _windows(t: pa.Table, width: int, bits: int) -> tuple[pa.Table, np.ndarray,
 
 
 def _counted(sent: DataFrame) -> DataFrame:
-    """(chunk, bucket, flags) for arrays (bucket, keys): one byte per key, whether it occurs again. Arrays are dealt out once, then counted key by key.
+    """(chunk, bucket, flags) for a written table of arrays (bucket, keys): one byte per key, whether it occurs again.
 
-    The first place of an array has its chunk, so both readers of the exchange take the same columns of it, and the counts name the
-    bucket otherwise, so no plan is copied under other names: both share one exchange.
+    Arrays are dealt out once, then counted key by key. The first place of an array has its chunk, so both readers of the exchange take
+    the same columns of it and share it.
     """
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -67,7 +67,7 @@ def _counted(sent: DataFrame) -> DataFrame:
         return pa.table({"chunk": own[ends - size], "bucket": left["bucket"], "flags": pa.array(flags, pa.binary())})
 
     dealt = sent.repartition("bucket")
-    each = dealt.select(F.col("bucket").alias("of"), F.posexplode("keys").alias("place", "key")).filter("place > 0")
+    each = dealt.select(F.col("bucket").alias("of"), F.posexplode_outer("keys").alias("place", "key")).filter("place > 0")
     shared = each.groupBy("of", "key").agg(F.count("*").alias("times")).filter("times > 1").groupBy("of").agg(F.collect_list("key").alias("shared"))
     return dealt.groupBy("bucket").cogroup(shared.groupBy("of")).applyInArrow(mark, blocks.FLAGS_DDL)
 
@@ -193,9 +193,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "intervals": span, "kept": pa.string()}
         return pa.table({"doc_id": ids} | {k: pa.array(out[k], kind) for k, kind in types.items() if keep or k != "kept"})
 
-    counted = _counted(rows.groupBy("chunk").applyInArrow(tell, "bucket int, keys array<int>"))
+    spark = docs.sparkSession
+    sent, path = workspace.cut(rows.groupBy("chunk").applyInArrow(tell, "bucket int, keys array<int>"), "keys")
+    workspace.release(spark)
+    counted, _ = workspace.cut(_counted(sent), "flags")
+    workspace.drop(spark, path)
+    workspace.release(spark)
     found, _ = workspace.cut(rows.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_find(width, n, bits), _FOUND_DDL), "candidates")
-    workspace.release(docs.sparkSession)
+    workspace.release(spark)
     told = blocks.exchange(found.filter(F.col("kind") == _DIGESTS).drop("kind"), _repeated)
     marks = found.filter(F.col("kind") == _PLACES).select("chunk", "bucket", F.col("keys").alias("flags")).unionByName(told)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<first: long, end: long>>" + ", kept string" * keep
