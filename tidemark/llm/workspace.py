@@ -13,6 +13,7 @@ import gc
 import shutil
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -85,9 +86,14 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does once the driver's JVM has collected what referred to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs now: it does once the driver's JVM has collected what referred to them.
+
+    Twice, as listeners hold on to a job that has only just ended.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
