@@ -2,7 +2,10 @@
 
 from types import SimpleNamespace
 
-from tidemark.plans import agent_plans, event_plans
+import duckdb
+
+from tidemark.plans import agent_plans, event_plans, registry
+from tidemark.plans.bridge import Tables
 
 DAY = 86400
 
@@ -28,3 +31,35 @@ def test_beliefs_of_all_persons(spark):
     now = spark.createDataFrame([(100 * DAY,)], "now long")
     got = agent_plans.discovered_contacts(SimpleNamespace(events=ev, claims=cl, now=now)).collect()
     assert {(r["person_id"], r["signals"], r["score"]) for r in got} == {(7, 2, 3.0), (1499, 2, 3.0)}
+
+
+def _most_rows(node) -> int:
+    """The rows out of the busiest node of a plan that has run."""
+    own = node.metrics().get("numOutputRows")
+    below = node.children()
+    return max([own.get().value() if own.isDefined() else 0] + [_most_rows(below.apply(i)) for i in range(below.size())])
+
+
+def test_participation_of_a_crowded_thread(spark, tmp_path):
+    """2,000 events with a person each in one thread: 4 million pairs, none of which need be made."""
+    duckdb.sql(f"""copy (select i as event_id, timestamp '2024-01-01' as ts, i as user_id, 'click' as event_type, 1.0::double as value, '{{"k": 7}}' as props from range(2000) t(i)) to '{tmp_path}/events.parquet' (format parquet)""")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = event_plans.participation(Tables(spark, str(tmp_path)))
+        assert {(r["person_id"], r["n"]) for r in got.collect()} == {(i, 2000) for i in range(2000)}
+        assert _most_rows(got._jdf.queryExecution().executedPlan()) <= 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_participation_of_repeated_events(spark, tmp_path):
+    """An event_id in several threads counts once for a person of more than one of them; rows without id or thread count for nobody."""
+    rows = [(1, 5, "click", 3), (1, 6, "view", 3), (1, 5, "click", 3), (2, 5, "click", 3), (2, 7, "click", 4), (3, 6, "view", 3), (4, 8, "error", None), (None, 9, "click", 3), (5, None, "click", 4), (6, 6, None, 4)]
+    values = ", ".join(f"({'null' if i is None else i}, {'null' if u is None else u}, {'null' if e is None else repr(e)}, '{{}}')".replace("{}", "{}" if k is None else f'{{"k": {k}}}') for i, u, e, k in rows)
+    duckdb.sql(f"copy (select i::bigint as event_id, timestamp '2024-01-01' as ts, u::bigint as user_id, e::varchar as event_type, 1.0::double as value, p as props from (values {values}) t(i, u, e, p)) to '{tmp_path}/events.parquet' (format parquet)")
+    con = duckdb.connect()
+    for name in ("events", "customer", "orders", "nation", "supplier", "lineitem"):
+        con.sql(f"create view {name} as select * from '{tmp_path if name == 'events' else '/root/testdata/sf0.001'}/{name}.parquet'")
+    got = event_plans.participation(Tables(spark, str(tmp_path))).collect()
+    want = con.execute(registry.ORACLES["participation"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 5
