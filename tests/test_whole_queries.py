@@ -1,10 +1,14 @@
 """Queries that once looked at a part of their rows."""
 
+import random
+from difflib import SequenceMatcher
 from types import SimpleNamespace
 
 import duckdb
+import pytest
 
-from tidemark.plans import agent_plans, event_plans, registry
+from tidemark.operators import evidence
+from tidemark.plans import agent_plans, belief_plans, event_plans, registry
 from tidemark.plans.bridge import Tables
 
 DAY = 86400
@@ -63,3 +67,40 @@ def test_participation_of_repeated_events(spark, tmp_path):
     got = event_plans.participation(Tables(spark, str(tmp_path))).collect()
     want = con.execute(registry.ORACLES["participation"]).fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 5
+
+
+def _plain_score(quote: str, source: str) -> float:
+    """The rule of quote_score(), with every window compared."""
+    q, s = evidence._plain(quote), evidence._plain(source)
+    if not q or not s or f" {' '.join(q)} " in f" {' '.join(s)} ":
+        return float(bool(q and s))
+    windows = [(-len(set(q) & set(s[i : i + n])), i, n) for n in sorted({max(2, len(q) + d) for d in range(-2, 4)}) for i in range(0, len(s) - n + 1, max(1, n // 4))]
+    best = sorted(w for w in windows if -w[0] >= max(1, int(len(set(q)) * 0.3)))[:200]
+    return max((SequenceMatcher(None, " ".join(q), " ".join(s[i : i + n])).ratio() for _, i, n in best), default=0.0)
+
+
+@pytest.mark.parametrize("words", [["a", "b", "c"], "we will send the signed contract for order to a supplier by friday and call".split(), ["x" * 40, "yx" * 9, "\u00e9\u4e16", "b"]])
+def test_quote_scores_are_those_of_all_windows(words):
+    r = random.Random(5)
+    for _ in range(150):
+        source, quote = " ".join(r.choices(words, k=r.choice([0, 1, 4, 30, 90]))), " ".join(r.choices([*words, "moon"], k=r.choice([0, 1, 3, 8, 25])))
+        assert evidence.quote_score(quote, source) == _plain_score(quote, source), (quote, source)
+    for a, b in (("", ""), ("", "x"), ("x", ""), ("abcabc", "bcabca"), ("ab" * 120, "ba" * 130)):
+        assert evidence.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_few_windows_of_a_quote_are_compared(spark, monkeypatch):
+    """75 windows share enough words with this quote; most can't beat the best, by length or characters. The rows of one file go to several tasks."""
+    asked = []
+    monkeypatch.setattr(evidence, "SequenceMatcher", lambda *a: asked.append(a) or SequenceMatcher(*a))
+    if hasattr(evidence, "ratio"):
+        whole = evidence.ratio
+        monkeypatch.setattr(evidence, "ratio", lambda *a: asked.append(a) or whole(*a))
+    source = "Hello all. We will send the signed contract for order 123456 to the supplier by Friday, and call them."
+    assert evidence.quote_score("we send the contract for order", source) == _plain_score("we send the contract for order", source) >= 0.65
+    assert 0 < len(asked) <= 10
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert belief_plans.supported_quotes(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

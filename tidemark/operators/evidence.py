@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
@@ -22,10 +23,35 @@ def _plain(s: str | None) -> list[str]:
     return re.sub(r"[^\w\s]", " ", (s or "").lower()).split()
 
 
+def _matches(a: str, b: str) -> int:
+    """The characters that SequenceMatcher(None, a, b) matches, for b of less than 200: longest common substrings, the earliest in a, then in b, and so on at both sides."""
+    got, parts = 0, [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        at = n = 0
+        for i in range(len(a)):
+            while i + n < len(a) and a[i : i + n + 1] in b:
+                at, n = i, n + 1
+        if n:
+            j = b.index(a[at : at + n])
+            got += n
+            if at and j:
+                parts.append((a[:at], b[:j]))
+            if at + n < len(a) and j + n < len(b):
+                parts.append((a[at + n :], b[j + n :]))
+    return got
+
+
+def ratio(a: str, b: str) -> float:
+    """SequenceMatcher(None, a, b).ratio(); from 200 characters of b on it passes over frequent ones, so it is asked itself."""
+    return SequenceMatcher(None, a, b).ratio() if len(b) >= 200 or not (a or b) else 2.0 * _matches(a, b) / (len(a) + len(b))
+
+
 def quote_score(quote: str | None, source: str | None) -> float:
     """1 if the words of a quote stand in a source as they are, else the best likeness of a window of about as many words that shares three in ten of them.
 
     Windows are two words shorter to three longer, a quarter of their length apart; the 200 with most shared words are compared.
+    Of these, windows whose length or characters leave no room for more than the best so far are passed over.
     """
     q, s = _plain(quote), _plain(source)
     if not q or not s:
@@ -33,14 +59,22 @@ def quote_score(quote: str | None, source: str | None) -> float:
     if f" {' '.join(q)} " in f" {' '.join(s)} ":
         return 1.0
     words, found = set(q), []
+    if words.isdisjoint(s):
+        return 0.0
+    least = max(1, int(len(words) * 0.3))
     for n in sorted({max(2, len(q) + d) for d in range(-2, 4)}):
         for i in range(0, len(s) - n + 1, max(1, n // 4)):
             shared = len(words.intersection(s[i : i + n]))
-            if shared >= max(1, int(len(words) * 0.3)):
+            if shared >= least:
                 found.append((-shared, i, n))
+    found.sort()
     text, best = " ".join(q), 0.0
-    for _, i, n in sorted(found)[:200]:
-        best = max(best, SequenceMatcher(None, text, " ".join(s[i : i + n])).ratio())
+    size, times = len(text), Counter(text).items()
+    for _, i, n in found[:200]:
+        window = " ".join(s[i : i + n])
+        both = size + len(window)
+        if 2.0 * min(size, len(window)) / both > best and 2.0 * sum([min(k, window.count(c)) for c, k in times]) / both > best:
+            best = max(best, ratio(text, window))
     return best
 
 

@@ -25,7 +25,8 @@ def supported_quotes(t: Tables) -> DataFrame:
     key = F.col("claim_id").cast("string")
     source = F.concat(F.lit("Hello all. We will send the signed contract for order "), key, F.lit(" to the supplier by Friday, and call them."))
     quote = _pick(4, F.concat(F.lit("send THE  signed contract, for order "), key), F.lit("send the signed contracts for order to the supplier"), F.lit("we send the contract for order"), F.lit("zebra moon quartz jigsaw"))
-    return evidence.supported(t.claims.select("claim_id", quote.alias("quote"), source.alias("source")), "claim_id").select("claim_id", "found")
+    spread = t.claims.select("claim_id").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "claim_id")  # a file may be one task; AQE would join so short rows again
+    return evidence.supported(spread.select("claim_id", quote.alias("quote"), source.alias("source")), "claim_id").select("claim_id", "found")
 
 
 @query("SELECT claim_id FROM cl WHERE claim_id % 4 < 3 OR confidence >= 0.7")
