@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 
-from tidemark.llm import langid, queries, shingle_dedup
+from tidemark.llm import langid, queries, shingle_dedup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -103,3 +103,29 @@ def test_empty_sample_raises(spark):
 def test_sample_of_rows_without_id(spark):
     docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('the cat and dog ', id) AS text", "'en' AS lang")
     assert langid.fit(docs, docs_per_lang=200).langs == ["en"]
+
+
+def test_near_stage_goes_through_fingerprints(spark, monkeypatch):
+    """Rows whose 5-word fingerprints differ in two bits at most meet by their ring keys, are verified, and meet in no band again; bands find the others."""
+    texts = near_copies(random.Random(4), 30)
+    texts += [t + " zz" for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    seen = {"links": 0, "starred": set()}
+    links, close = simhash.links, shingle_dedup._close
+
+    def counted(prints, *args, **kwargs):
+        seen["links"] += 1
+        return links(prints, *args, **kwargs)
+
+    def starred(pairs, *args):
+        seen["starred"] |= {tuple(sorted(p)) for p in pairs.collect()}
+        return close(pairs, *args)
+
+    monkeypatch.setattr(simhash, "links", counted)
+    monkeypatch.setattr(shingle_dedup, "_close", starred)
+    found = dict(map(tuple, shingle_dedup.near_components(df, "row").collect()))
+    assert [found.get(i, i) for i in range(len(texts))] == brute(texts)
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    near = {(j, i) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2 and similarity(texts[i], texts[j]) >= 0.8}
+    assert seen["links"] == 1 and len(near) > 5 and seen["starred"] and not near & seen["starred"]
+    assert all(simhash.of_hashes(shingle_dedup.all_shingles(t)) == p for t, p in zip(texts, prints))

@@ -1,6 +1,10 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""Near-duplicate documents by the Jaccard similarity of their word shingles: SimHash first, then bands for the pairs that it can't reach.
 
-Candidates share a band: ``rows`` least values of a text's shingles under seeded hashes. A pair of similarity s shares
+SimHash goes as in simhash.py, on shingles of this width: fingerprints, ring keys, chain test, Hamming test. Its pairs and rows of
+equal fingerprints are verified on the whole sets of shingles. 64 bits at this distance find but a part of the pairs at the threshold
+(README), so what is one component by then is passed over in the bands, and bands find the rest.
+
+Candidates of this second step share a band: ``rows`` least values of a text's shingles under seeded hashes. A pair of similarity s shares
 one of the ``bands`` with a chance of 1 - (1 - s**rows)**bands, 0.99994 at 0.8 and more above. A candidate pair goes on
 if the least values agree in a share that a pair at the threshold falls below with a chance of 10**-9 (six standard
 deviations), and is then verified on the whole sets of shingles, so no pair below the threshold links.
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import blocks, workspace
+from tidemark.llm import blocks, simhash, workspace
 from tidemark.llm.components import components
 
 #: Shingles of a text that go into a comparison within a band, as 32 bits; more of them would change the last check alone.
@@ -32,14 +36,19 @@ _MOST = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """The distinct hashes of all word shingles; of a shorter text, the hash of all its words."""
+def all_shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of all word shingles, repeats included; of a shorter text, the hash of all its words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     joined, width = b" ".join(words), max(1, min(width, len(words)))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1 if words else np.zeros(1, np.int64)
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(ends) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    return blocks.distinct(np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64))
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+
+
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct ones of all_shingles()."""
+    return blocks.distinct(all_shingles(text, width, seed))
 
 
 @lru_cache(maxsize=4)
@@ -146,6 +155,18 @@ def _meet(named: DataFrame, known: DataFrame, texts: DataFrame, width: int, leas
     return workspace.cut(dealt.groupBy("key", "bi", "bj").applyInArrow(compare, "a long, b long"), "pairs")[0]
 
 
+def fingerprint_links(known: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The verified pairs (a, b) of rows whose fingerprints are equal or differ in at most two bits; known has row and ``fp``.
+
+    Of equal fingerprints, each row is held against the smallest; of two that differ, the smallest rows against each other.
+    """
+    classes, _ = workspace.cut(known.groupBy("fp").agg(F.min("row").alias("rep")), "classes")
+    equal = known.select("fp", "row").join(classes, "fp").filter("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    pairs = simhash.links(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met, _ = workspace.cut(equal.unionByName(pairs), "met")
+    return _verified(met, texts, width, least)
+
+
 def near_components(docs: DataFrame, row: str, text: str = "text", width: int = 5, least: float = 0.8, bands: int = 32, rows: int = 6, block: int = 256) -> DataFrame:
     """(node, component) for every row that is linked to another; row is a unique long of each row.
 
@@ -156,20 +177,27 @@ def near_components(docs: DataFrame, row: str, text: str = "text", width: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [least_values(shingles(t, width), bands, rows) for t in b["t"].to_pylist()]
+            prints, values = np.zeros(b.num_rows, np.uint64), []
+            for i, t in enumerate(b["t"].to_pylist()):
+                own = all_shingles(t, width)
+                prints[i] = simhash.of_hashes(own)
+                values.append(least_values(blocks.distinct(own), bands, rows))
             keys = pa.array([_signed(band_keys(v, bands, rows)) for v in values], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["row"], keys, pa.array([(v & np.uint64(255)).astype(np.uint8).tobytes() for v in values], pa.binary())], ["row", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b["row"], keys, pa.array([(v & np.uint64(255)).astype(np.uint8).tobytes() for v in values], pa.binary()), pa.array(_signed(prints))], ["row", "keys", "sketch", "fp"])
         workspace.give_back()
 
     workspace.small_batches(docs.sparkSession)
     texts = docs.select(F.col(row).alias("row"), F.col(text).alias("t"))
     with workspace.scratch(docs.sparkSession):
-        known, _ = workspace.cut(texts.mapInArrow(run, "row long, keys array<long>, sketch binary"), "bands")
-        keys = known.select(F.explode("keys").alias("key"), "row")
-        many = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("hub")).filter("c > 1")
+        known, _ = workspace.cut(texts.mapInArrow(run, "row long, keys array<long>, sketch binary, fp long"), "bands")
+        by_print = fingerprint_links(known, texts, width, least)
+        first = components(by_print, "a", "b")
+
+        keys = known.join(first, F.col("row") == F.col("node"), "left").select(F.explode("keys").alias("key"), "row", F.coalesce("component", "row").alias("of"))
+        many = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("hub"), F.min_by("of", "row").alias("hub_of")).filter("c > 1")
         shared, _ = workspace.cut(keys.join(many, "key"), "shared")
-        stars = _close(shared.filter("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")), known, agree)
-        links = _verified(stars, texts, width, least)
+        stars = _close(shared.filter("of <> hub_of").select(F.col("hub").alias("a"), F.col("row").alias("b")), known, agree)
+        links, _ = workspace.cut(by_print.unionByName(_verified(stars, texts, width, least)).distinct(), "links")
         found = components(links, "a", "b")
 
         named = shared.filter("c > 2").select("key", "row").join(found, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("component", "row").alias("of"))

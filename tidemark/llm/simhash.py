@@ -30,6 +30,19 @@ BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(set_bits: np.ndarray, n: int) -> int:
+    return int(np.packbits(set_bits * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes, repeats included: a bit is set if it is in over half of them."""
+    return _majority(sum((_set_bits(h[at : at + (1 << 15)]) for at in range(0, len(h), 1 << 15)), np.zeros(BITS, np.int64)), len(h))
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """SimHash over all word shingles of a whole text, repeats included; 0 without words.
 
@@ -45,8 +58,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     set_bits, n = np.zeros(BITS, np.int64), len(starts)
     for at in range(0, n, 1 << 15):
         h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])], "<u8")
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > n, bitorder="little").view("<u8")[0])
+        set_bits += _set_bits(h)
+    return _majority(set_bits, n)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
